@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     marks = spool(hashed.select("id", "h", F.sha2("norm", 256).alias("sha")).groupBy("h", "sha", "id").agg(F.count(F.lit(1)).alias("copies")))
     repeated = marks.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1")
     slots = repeated.select(slot_of(F.col("h"), SLOTS).alias("slot")).distinct()
-    classes = (
+    classes = spool(
         hashed.withColumn("slot", slot_of(F.col("h"), SLOTS))
         .join(F.broadcast(slots), "slot", "left_semi")
         .groupBy("h", "norm")
