@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import bpe, exact_dedup, packing, token_count, url_filter
 
-_MODULES = (exact_dedup, url_filter)
+_MODULES = (exact_dedup, token_count, url_filter, packing, bpe)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "SQL", {}).items()}
