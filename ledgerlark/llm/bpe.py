@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Each adjacent pair that the vocabulary can merge waits in the bucket of its rank;
-a bitmap with one bit per bucket, summarised by two smaller bitmaps, gives the lowest filled bucket by three find-first-set
+a bitmap with one bit per bucket, summarised by a smaller bitmap, gives the lowest filled bucket by two find-first-set
 steps. Entries that an earlier merge outdated are skipped when they surface. A merge costs a constant number of such steps
 and one push to a heap of positions, so a pre-token of a million bytes takes about a million steps.
 
@@ -25,51 +25,57 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import prepare, table
 
-#: Entries of a worker's memo of short pre-tokens; a full memo starts anew. Ids don't depend on it.
+#: Entries of each of the two generations of a worker's memo of short pre-tokens. Ids don't depend on it.
 MEMO = 400_000
 #: Pre-tokens beyond so many characters are encoded afresh each time.
 MEMO_CHARS = 64
 
 
+_BIT = [1 << i for i in range(256)]
+
+
 class RankQueue:
-    """Positions by rank: the lowest rank first and, of equal ranks, the lowest position."""
+    """Positions by rank: the lowest rank first and, of equal ranks, the lowest position.
+
+    A word has 256 ranks' bits, and top has a bit for each word that isn't empty, so two find-first-set steps cover 65,536
+    ranks. A bucket is a position, or a heap of them.
+    """
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        words = ranks // 64 + 1
-        self.low = [0] * words
-        self.mid = [0] * (words // 64 + 1)
+        self.buckets: dict[int, int | list[int]] = {}
+        self.words = [0] * (ranks // 256 + 1)
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        group = word >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[group] |= 1 << (word & 63)
-        self.top |= 1 << group
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[group]
-        word = (group << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
+        held = self.buckets.get(rank)
+        if held is None:
+            self.buckets[rank] = position
+            word = rank >> 8
+            if not self.words[word]:
+                self.top |= 1 << word
+            self.words[word] |= _BIT[rank & 255]
+        elif type(held) is int:
+            self.buckets[rank] = [held, position] if held < position else [position, held]
+        else:
+            heapq.heappush(held, position)
+
+    def pop(self) -> tuple[int, int]:
+        """A queue that holds something only: while top is not 0."""
+        top = self.top
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        bit = bits & -bits
+        rank = (word << 8) + bit.bit_length() - 1
+        held = self.buckets[rank]
+        if type(held) is int:
             del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.mid[group] &= ~(1 << (word & 63))
-                if not self.mid[group]:
-                    self.top &= ~(1 << group)
+            self.words[word] = bits = bits ^ bit
+            if not bits:
+                self.top = top & (top - 1)
+            return rank, held
+        position = heapq.heappop(held)
+        if len(held) == 1:
+            self.buckets[rank] = held[0]
         return rank, position
 
 
@@ -99,8 +105,8 @@ class Bpe:
             if rank is not None:
                 waiting[i] = rank
                 push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
+        while queue.top:
+            rank, i = queue.pop()
             if waiting[i] != rank:
                 continue
             gone = after[i]
@@ -136,13 +142,19 @@ class Bpe:
 
 
 class _Memo(dict):
+    """Ids of short pre-tokens. When MEMO new ones are in, they become the old ones; those used again come back from there."""
+
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.bpe.merge(piece.encode())
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = tuple(self.bpe.merge(piece.encode()))
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
