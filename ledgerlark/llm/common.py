@@ -70,3 +70,32 @@ def lower_ascii(column):
 def slot_of(column, slots: int):
     """A slot number from 0 to slots - 1."""
     return F.pmod(F.xxhash64(column), F.lit(slots)).cast("int")
+
+
+#: Bits of a slot bitmap: 2 MB, whatever the input's size.
+SLOT_BITS = 24
+
+
+def slot_bitmap(keys: DataFrame, column: str):
+    """A bitmap of the slots (lowest SLOT_BITS bits) of a long column of hashes, as a numpy array of 64-bit words.
+
+    It tells which keys may be in the column: a superset at any size, of bounded size. What it lets through is checked exactly
+    by the join that follows; where the column holds many more keys than there are slots, it only stops to save work.
+    """
+    import numpy as np
+
+    slot = F.col(column).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    words = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, int({column} & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (SLOT_BITS - 6), dtype=np.int64)
+    found = words.toPandas()
+    if len(found):
+        out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap, keys):
+    """Which of an array of 64-bit keys have a filled slot."""
+    import numpy as np
+
+    keys = keys.view(np.uint64) & np.uint64((1 << SLOT_BITS) - 1)
+    return (bitmap[(keys >> np.uint64(6)).astype(np.int64)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
