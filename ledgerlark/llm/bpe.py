@@ -22,8 +22,9 @@ import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import named, prepare, table
 
 #: Entries of each of the two generations of a worker's memo of short pre-tokens. Ids don't depend on it.
 MEMO = 400_000
@@ -222,13 +223,13 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
             for text_ in batch["t"]:
                 ids = bpe.encode(text_ or "")
                 rows.append((*((ids,) if keep_ids else ()), len(ids), sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()), sha(bpe.decode(ids))))
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, key, batch["k"].array)
+            out = pd.DataFrame(rows, columns=names)
+            out.insert(0, "k", batch["k"].array)
             yield out
 
-    names = [key, *(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
-    schema = f"`{key}` {kind}, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInPandas(run, schema)
+    names = [*(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = "k string, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return named(docs, key, text).mapInPandas(run, schema).select(F.col("k").cast(kind).alias(key), *names)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -240,9 +241,9 @@ def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = shared_bpe(vocabulary, public_tokenizers.PATTERN)
         for batch in batches:
-            yield pd.DataFrame({key: batch["k"].array, "bytes": [bpe.decode([] if x is None else list(x)) for x in batch["i"]]})
+            yield pd.DataFrame({"k": batch["k"].array, "bytes": [bpe.decode([] if x is None else list(x)) for x in batch["t"]]})
 
-    return rows.selectExpr(f"`{key}` AS k", f"`{ids}` AS i").mapInPandas(run, f"`{key}` {kind}, bytes binary")
+    return named(rows, key, ids).mapInPandas(run, "k string, bytes binary").select(F.col("k").cast(kind).alias(key), "bytes")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

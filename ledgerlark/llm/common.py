@@ -62,6 +62,11 @@ def _clean() -> None:
         return
 
 
+def named(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """k, the key as a string, and t, the value, for Python: pandas has no long column with nulls."""
+    return rows.select(F.col(key).cast("string").alias("k"), F.col(value).alias("t"))
+
+
 def lower_ascii(column):
     """A-Z to lower case; all other characters stay, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

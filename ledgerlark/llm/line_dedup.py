@@ -65,7 +65,12 @@ def _short(masked: list[str]) -> list[str]:
 
 def _documents(docs: DataFrame, text: str, key: str) -> DataFrame:
     """What names a row: its id and a hash of its text. Rows that agree in both are one document."""
-    return docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("a"), F.hash(F.col(text), F.col(key).cast("string")).cast("long").alias("b"), F.col(text).alias("t")).filter("length(t) > 0")
+    return docs.select(*_names(text, key), F.col(text).alias("t")).filter("length(t) > 0")
+
+
+def _names(text: str, key: str) -> list:
+    own = F.col(key).cast("string")
+    return [F.xxhash64(own, F.col(text)).alias("a"), F.hash(F.col(text), own).cast("long").alias("b")]
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -115,15 +120,14 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
 
 def drop_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """docs with their texts less the recurring lines, and _lines: how many there were, _dropped: the numbers of those dropped."""
-    found = spool(recurring_lines(docs, text, key, min_documents)).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("lines").alias("_found"))
-    named = docs.withColumns({"_a": F.xxhash64(F.col(key).cast("string"), F.col(text)), "_b": F.hash(F.col(text), F.col(key).cast("string")).cast("long")})
-    split = F.split(F.col(text), "\n")
-    joined = named.join(found, ["_a", "_b"], "left").withColumn("_all", split)
-    rest = F.array_join(F.filter("_all", lambda _, i: ~F.array_contains(F.col("_found"), i)), "\n")
-    joined = joined.withColumn("_rest", F.when(F.col("_found").isNotNull(), rest))
-    whole = F.col("_rest").isNull() | (F.length("_rest") < KEPT_SHARE * F.length(F.col(text)))
-    out = joined.withColumns({"_lines": F.size("_all"), "_dropped": F.when(whole, F.array().cast("array<int>")).otherwise(F.col("_found")), text: F.when(whole, F.col(text)).otherwise(F.col("_rest"))})
-    return out.select(*docs.columns, "_lines", "_dropped")
+    found = spool(recurring_lines(docs, text, key, min_documents))
+    named = docs.select(F.struct("*").alias("row"), *_names(text, key), F.col(text).alias("t"), F.split(F.col(text), "\n").alias("all"))
+    joined = named.join(found, ["a", "b"], "left")
+    rest = F.array_join(F.filter("all", lambda _, i: ~F.array_contains(F.col("lines"), i)), "\n")
+    joined = joined.withColumn("rest", F.when(F.col("lines").isNotNull(), rest))
+    joined = joined.withColumn("whole", F.col("rest").isNull() | (F.length("rest") < KEPT_SHARE * F.length("t")))
+    held = [F.when(F.col("whole"), F.col("t")).otherwise(F.col("rest")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return joined.select(*held, F.size("all").alias("_lines"), F.when(F.col("whole"), F.array().cast("array<int>")).otherwise(F.col("lines")).alias("_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, spool, table
+from .common import named, prepare, spool, table
 
 #: Pieces of one length that are ranked together.
 RANKED = 4096
@@ -216,7 +216,7 @@ def cut(docs: DataFrame, definition: str, capacity: int, end: int, text: str, ke
     spark = prepare(docs.sparkSession)
     held, name = spark.sparkContext.broadcast(definition), hash(definition)
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
+    names = ["piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if name not in _LOADED:
@@ -235,12 +235,12 @@ def cut(docs: DataFrame, definition: str, capacity: int, end: int, text: str, ke
                     rows.append((piece, start, stop - start, zlib.crc32(raw[start:stop].tobytes()), *([ids[start:stop]] if keep_ids else [])))
                     owner.append(i)
                     start, stop, piece = stop, stop + capacity, piece + 1
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, key, batch["k"].take(owner).array)
+            out = pd.DataFrame(rows, columns=names)
+            out.insert(0, "k", batch["k"].take(owner).array)
             yield out
 
-    schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInPandas(run, schema)
+    schema = "k string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    return named(docs, key, text).mapInPandas(run, schema).select(F.col("k").cast(kind).alias(key), *names)
 
 
 def pack(docs: DataFrame, definition: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import named, prepare, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "account", "person")
@@ -303,9 +303,10 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Mo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch["k"].array, "spans": [[{"kind": k, "start": s, "end": e, "base": b} for k, s, e, b in accepted(t or "", held.value)] for t in batch["t"]]})
+            yield pd.DataFrame({"k": batch["k"].array, "spans": [[{"kind": k, "start": s, "end": e, "base": b} for k, s, e, b in accepted(t or "", held.value)] for t in batch["t"]]})
 
-    return docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInPandas(run, f"`{key}` {kind}, spans array<struct<kind string, start int, end int, base boolean>>")
+    found = named(docs, key, text).mapInPandas(run, "k string, spans array<struct<kind: string, start: int, end: int, base: boolean>>")
+    return found.select(F.col("k").cast(kind).alias(key), "spans")
 
 
 def redacted(text: str, model: Model) -> str:
@@ -343,10 +344,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                 n = Counter(x[0] for x in base)
                 rows.append((*(n[k] for k in BASE_KINDS), hashlib.sha256(said(base).encode()).hexdigest(), said(spans)))
             out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
-            out.insert(0, "doc_id", batch["k"].array)
+            out.insert(0, "k", batch["k"].array)
             yield out
 
-    return docs.selectExpr("doc_id AS k", "text AS t").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    found = named(docs, "doc_id", "text").mapInPandas(run, "k string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.withColumn("doc_id", F.col("k").cast("long")).select("doc_id", *found.columns[1:])
 
 
 QUERIES = {"op1_pii": op1_pii}

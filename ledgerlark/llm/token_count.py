@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import named, prepare, table
 
 #: The mark before a word in the vocabulary's pieces.
 MARK = "▁"
@@ -131,10 +132,11 @@ def token_counts(docs: DataFrame, pieces, text: str = "text", key: str = "doc_id
                 unknown = counts.count(UNKNOWN)
                 rows.append((len(counts), sum(counts) + unknown, unknown))
             out = pd.DataFrame(rows, columns=["n_words", "n_tokens", "n_unknown"])
-            out.insert(0, key, batch["k"].array)
+            out.insert(0, "k", batch["k"].array)
             yield out
 
-    return docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInPandas(run, f"`{key}` {kind}, n_words long, n_tokens long, n_unknown long")
+    counted = named(docs, key, text).mapInPandas(run, "k string, n_words long, n_tokens long, n_unknown long")
+    return counted.select(F.col("k").cast(kind).alias(key), "n_words", "n_tokens", "n_unknown")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
