@@ -11,7 +11,7 @@ from .rules import URL
 #: An extraction reply's fields.
 REPLY = (
     "company_name string, company_description string, transaction_type string, capital_sources array<string>, sectors array<string>, "
-    "deal_type string, deal_amount string, investors string, strategic_significance string, market_implications string, _corrupt string"
+    "deal_type string, deal_amount string, investors string, strategic_significance string, market_implications string"
 )
 
 
@@ -32,10 +32,11 @@ def unfenced(reply: Column | str) -> Column:
 
 
 def parsed_reply(reply: Column | str) -> Column:
-    """The reply's fields; summary_complete tells whether it was JSON, and all fields are NULL if it wasn't."""
-    got = F.from_json(unfenced(reply), REPLY, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    ok = F.coalesce(got["_corrupt"].isNull() & F.try_parse_json(unfenced(reply)).isNotNull(), F.lit(False))
-    names = [x.split()[0] for x in REPLY.split(", ")][:-1]
+    """The reply's fields; summary_complete tells whether it was JSON, and all fields are NULL if it wasn't. A text
+    where a list belongs is NULL, and the other fields stay."""
+    got = F.from_json(unfenced(reply), REPLY, {"mode": "PERMISSIVE"})
+    ok = F.coalesce(F.try_parse_json(unfenced(reply)).isNotNull(), F.lit(False))
+    names = [x.split()[0] for x in REPLY.split(", ")]
     return F.struct(*[F.when(ok, got[n]).alias(n) for n in names], ok.alias("summary_complete"))
 
 
