@@ -9,7 +9,8 @@ component. It is exact, up to collisions of 64-bit shingle hashes:
    inverted lists, and lists with one node, nearly all, end there. The order makes lists of common shingles rare; any order
    gives the same links.
 3. The nodes of a list are compared with the list's least node. Lists with the same nodes are compared once.
-4. A list whose nodes are then in one component can't change the result. The others are searched whole: the overlap that a
+4. A list whose nodes are then in one component can't change the result. From the others go nodes whose profiles, the
+   numbers of their shingles in 256 classes, allow no link. What is left is searched whole: the overlap that a
    node needs with earlier ones is counted by heap-merging its short inverted lists, skipping what can't reach T less the
    number of long lists, and by binary probes into the long ones. A list too long for one task is dealt into blocks, and
    each pair of blocks is searched.
@@ -38,8 +39,8 @@ from .shingles import shingle_set
 
 #: Counters of the sketch; its parts, which are summed apart.
 COUNTERS, PARTS = 1 << 22, 16
-#: Shingles that one task of the search holds.
-SEARCHED = 4_000_000
+#: Shingles, and profiles, that one task of the search holds: half of that for each of two blocks.
+SEARCHED, MEMBERS = 2_000_000, 4_000
 #: DivideSkip's weight of a long list's length in choosing how many lists are long.
 MU = 0.0085
 
@@ -49,7 +50,27 @@ def _node(found: np.ndarray) -> bytes:
 
 
 def _short(node: bytes) -> int:
-    return int.from_bytes(node[:8], "little", signed=True)
+    return int.from_bytes(node[:8], "big", signed=True)
+
+
+#: The same of a node column.
+_SHORT = "CAST(conv(hex(substring({0}, 1, 8)), 16, -10) AS BIGINT)"
+
+
+def profile(found: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of 256 classes, as 16-bit numbers; a full class counts as endless."""
+    return np.minimum(np.bincount((found >> np.uint64(48) & np.uint64(255)).astype(np.int64), minlength=256), 0xFFFF).astype("<u2").tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets with these profiles (rows of a and b) and sizes can link: an intersection takes from a class no more than either set has."""
+    most = np.minimum(a, b).astype(np.int64).sum(1)
+    endless = ((a == 0xFFFF) & (b == 0xFFFF)).any(1)
+    return endless | (most * (num + den) >= num * (n + m))
+
+
+def _profiles(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype="<u2").reshape(-1, 256)
 
 
 def overlap(a: int, b: int, num: int, den: int) -> int:
@@ -228,11 +249,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     lists = spool(lists.groupBy("m", "x", "y").agg(F.min(F.struct("key", "first", "most")).alias("l")).select("m", "l.key", F.col("l.first.node").alias("leader"), F.col("l.first.n").alias("leader_n"), F.col("l.most").alias("most")))
     posted = spool(posted.join(lists, "key"))
 
+    # Sets of nodes that meet another somewhere, with profiles; written where they are computed, read only as far as needed.
     wanted = spark.sparkContext.broadcast(slot_bitmap(posted.select("h").distinct(), "h"))
-    some = _sets(scan, lambda s, node: [(node, s.view(np.int64))] if in_bitmap(wanted.value, s_hash(node))[0] else [], "node binary, s array<long>", words)
-    sets = spool(some.join(posted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    full = spool(_sets(scan, lambda s, node: [(_short(node), node, profile(s), s.view(np.int64))] if in_bitmap(wanted.value, np.array([_short(node)]))[0] else [], "h long, node binary, profile binary, s array<long>", words))
+    profiles = spool(full.select("node", "profile").dropDuplicates(["node"]))
+
+    def sets_of(named: DataFrame) -> DataFrame:
+        held = spark.sparkContext.broadcast(slot_bitmap(named.select(F.expr(_SHORT.format("node")).alias("h")).distinct(), "h"))
+
+        @F.pandas_udf("boolean")
+        def there(h: pd.Series) -> pd.Series:
+            return pd.Series(in_bitmap(held.value, h.to_numpy(np.int64)))
+
+        return spool(full.filter(there("h")).select("node", "s").dropDuplicates(["node"]))
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(may_link(_profiles(a), _profiles(b), n.to_numpy(np.int64), m.to_numpy(np.int64), num, den))
 
-    pairs = posted.filter((F.col("node") != F.col("leader")) & (F.least("n", "leader_n") * den >= F.greatest("n", "leader_n") * num)).select("leader", "node").distinct()
+    pairs = posted.filter((F.col("node") != F.col("leader")) & (F.least("n", "leader_n") * den >= F.greatest("n", "leader_n") * num)).select("leader", "node", "n", "leader_n").distinct()
+    pairs = pairs.join(profiles, "node").withColumnRenamed("profile", "a").join(profiles.select(F.col("node").alias("leader"), F.col("profile").alias("b")), "leader")
+    pairs = spool(pairs.filter(close("a", "b", "n", "leader_n")).select("leader", "node"))
+    sets = sets_of(pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))))
     met = pairs.join(sets, "node").withColumnRenamed("s", "a").join(sets.select(F.col("node").alias("leader"), F.col("s").alias("b")), "leader")
     both = F.size(F.array_intersect("a", "b"))
     links = spool(met.filter(both * den >= (F.size("a") + F.size("b") - both) * num).select(F.col("node").alias("u"), F.col("leader").alias("v")))
@@ -242,17 +280,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * 1.0001)).cast("int")
     open_ = posted.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("band", F.explode(F.array(band, band + 1)))
     split = open_.groupBy("key", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("here"), F.max("n").alias("largest")).filter("a <> b")
-    blocks = F.ceil(F.col("here") * F.col("largest") / F.lit(SEARCHED)).cast("int")
-    dealt = open_.select("key", "band", "node", "h", "component").join(spool(split.select("key", "band", blocks.alias("blocks"))), ["key", "band"])
-    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "component").join(sets, "node")
+    split = spool(split.select("key", "band", F.ceil(F.col("here") / F.lit(MEMBERS)).cast("int").alias("blocks"), F.ceil(F.col("here") * F.col("largest") / F.lit(SEARCHED)).cast("int").alias("parts")))
+    dealt = _in_blocks(open_.select("key", "band", "node", "n", "component").join(split, ["key", "band"]), "blocks").join(profiles, "node")
+
+    def sift(g: pd.DataFrame) -> pd.DataFrame:
+        """Members that may link with one of another component."""
+        p, n = _profiles(g["profile"]), g["n"].to_numpy(np.int64)
+        code = pd.factorize(g["component"])[0]
+        keep = np.zeros(len(g), dtype=bool)
+        for i in range(len(g)):
+            j = np.flatnonzero((code != code[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num))
+            if len(j):
+                j = j[may_link(p[j], p[i][None, :], n[j], n[i], num, den)]
+                keep[j] = True
+                keep[i] |= len(j) > 0
+        return g.loc[keep, ["key", "band", "node", "component", "parts"]]
+
+    left = dealt.groupBy("key", "band", "lo", "hi").applyInPandas(sift, "key long, band int, node binary, component binary, parts int")
+    left = spool(left.groupBy("key", "band", "node", "component").agg(F.max("parts").alias("parts")))
+    same = left.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")).groupBy("m", "x", "y").agg(F.min(F.struct("key", "band")).alias("l"))
+    kept = spool(left.join(same.select("l.key", "l.band"), ["key", "band"], "left_semi"))
+    searched = _in_blocks(kept, "parts").join(sets_of(kept), "node")
 
     def look(g: pd.DataFrame) -> pd.DataFrame:
         found = search([x.tolist() for x in g["s"]], g["node"].tolist(), g["component"].tolist(), num, den)
         return pd.DataFrame({"u": [a for a, _ in found], "v": [b for _, b in found]})
 
-    more = dealt.groupBy("key", "band", "lo", "hi").applyInPandas(look, "u binary, v binary")
+    more = searched.groupBy("key", "band", "lo", "hi").applyInPandas(look, "u binary, v binary")
     group = components(links.unionByName(spool(more)))
 
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
@@ -263,8 +317,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     return out.select("id", "mark", "n", "node", "component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def s_hash(node: bytes) -> np.ndarray:
-    return np.array([_short(node)], dtype=np.int64)
+def _in_blocks(members: DataFrame, blocks: str) -> DataFrame:
+    """Members of a list dealt to pairs of its blocks, lo and hi: any two meet in one."""
+    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("own", "other", "blocks")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -74,4 +74,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     for k in range(size):
         h = h * np.uint64(_BASE) + words[k : k + last]
         h ^= h >> np.uint64(31)
-    return np.unique(mix(h * np.uint64(_SEED)))
+    h = np.sort(mix(h * np.uint64(_SEED)))
+    fresh = np.ones(last, dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=fresh[1:])
+    return h[fresh]
