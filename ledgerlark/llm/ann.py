@@ -160,7 +160,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         asks = group["asks"].to_numpy(bool)
         q, r = group[asks], group[~asks]
         if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
+            return pd.DataFrame({"query_id": [], "ids": [], "scores": []}, dtype=object)
         found = _nearest(_matrix(q["v"].tolist()), q["id"].to_numpy(), _matrix(r["v"].tolist()), r["id"].to_numpy(), k)
         return pd.DataFrame({"query_id": q["id"].to_numpy(), "ids": [i for i, _ in found], "scores": [s for _, s in found]})
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, prepare, slot_bitmap, spool, table
+from .common import in_bitmap, prepare, slot_bitmap, small_batches, spool, table
 from .graph import components
 from .shingles import shingle_set
 
@@ -178,7 +178,8 @@ def _sets(scan: DataFrame, emit, schema: str, words: int) -> DataFrame:
                 if len(found) and (node := _node(found)) not in seen:
                     seen.add(node)
                     rows += emit(found, node)
-            yield pd.DataFrame({i: [r[i] for r in rows] for i in range(width)})
+            if rows:
+                yield pd.DataFrame({i: [r[i] for r in rows] for i in range(width)})
 
     return scan.select("t").mapInPandas(run, schema)
 
@@ -203,6 +204,11 @@ def _levels(counted: DataFrame) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each document: id, mark (a hash of the text), n (size of its set), node, component (a node; null: no link), component_id."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, num, den, text, key)
+
+
+def _near_duplicates(docs: DataFrame, words: int, num: int, den: int, text: str, key: str) -> DataFrame:
     spark = prepare(docs.sparkSession)
     scan = _scan(docs, text, key)
     kind = docs.schema[key].dataType.simpleString()
@@ -304,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
 
     def look(g: pd.DataFrame) -> pd.DataFrame:
         found = search([x.tolist() for x in g["s"]], g["node"].tolist(), g["component"].tolist(), num, den)
-        return pd.DataFrame({"u": [a for a, _ in found], "v": [b for _, b in found]})
+        return pd.DataFrame({"u": [a for a, _ in found], "v": [b for _, b in found]}, dtype=object)
 
     more = searched.groupBy("key", "band", "lo", "hi").applyInPandas(look, "u binary, v binary")
     group = components(links.unionByName(spool(more)))
