@@ -27,7 +27,7 @@ from .common import prepare, spool, table
 
 CURVES, DIRECTIONS, BITS, CELL = 16, 8, 5, 1024
 #: Rows that the cuts are fitted on at most, queries that the reach is measured with at most, and the share of their neighbours to cover.
-SAMPLE, TRIALS, TARGET = 65_536, 64, 0.96
+SAMPLE, TRIALS, TARGET = 32_768, 64, 0.96
 _TIE_BITS = 63 - DIRECTIONS * BITS
 
 

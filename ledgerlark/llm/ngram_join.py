@@ -248,12 +248,16 @@ def _near_duplicates(docs: DataFrame, words: int, num: int, den: int, text: str,
         return [(int(k), _short(node), node, len(s)) for k in keys[in_bitmap(filled.value, keys)].view(np.int64)]
 
     posted = _sets(scan, hits, "key long, h long, node binary, n long", words).join(shared, "key", "left_semi")
+    # A list holds sets of like sizes: its own band and the one below, since sizes of sets that link lie in one or two neighbouring bands.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * 1.0001)).cast("int")
     posted = spool(posted.groupBy("key", "h", "node", "n").agg(F.lit(1).alias("one")).drop("one"))
-    lists = posted.groupBy("key").agg(
+    banded = posted.withColumn("band", F.explode(F.array(band, band + 1)))
+    lists = banded.groupBy("key", "band").agg(
         F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("h", "node")).alias("y"), F.min(F.struct("node", "n")).alias("first"), F.max("n").alias("most")
-    )
-    lists = spool(lists.groupBy("m", "x", "y").agg(F.min(F.struct("key", "first", "most")).alias("l")).select("m", "l.key", F.col("l.first.node").alias("leader"), F.col("l.first.n").alias("leader_n"), F.col("l.most").alias("most")))
-    posted = spool(posted.join(lists, "key"))
+    ).filter("m > 1")
+    lists = lists.groupBy("m", "x", "y").agg(F.min(F.struct("key", "band", "first", "most")).alias("l"))
+    lists = spool(lists.select("m", "l.key", "l.band", F.col("l.first.node").alias("leader"), F.col("l.first.n").alias("leader_n"), F.col("l.most").alias("most")))
+    posted = spool(banded.join(lists, ["key", "band"]))
 
     # Sets of nodes that meet another somewhere, with profiles; written where they are computed, read only as far as needed.
     wanted = spark.sparkContext.broadcast(slot_bitmap(posted.select("h").distinct(), "h"))
@@ -282,11 +286,10 @@ def _near_duplicates(docs: DataFrame, words: int, num: int, den: int, text: str,
     links = spool(met.filter(both * den >= (F.size("a") + F.size("b") - both) * num).select(F.col("node").alias("u"), F.col("leader").alias("v")))
     group = spool(components(links))
 
-    # What the leaders left open: by list and size band, where pairs that can link meet in one of two neighbouring bands.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * 1.0001)).cast("int")
-    open_ = posted.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("band", F.explode(F.array(band, band + 1)))
-    split = open_.groupBy("key", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("here"), F.max("n").alias("largest")).filter("a <> b")
-    split = spool(split.select("key", "band", F.ceil(F.col("here") / F.lit(MEMBERS)).cast("int").alias("blocks"), F.ceil(F.col("here") * F.col("largest") / F.lit(SEARCHED)).cast("int").alias("parts")))
+    # What the leaders left open.
+    open_ = posted.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = open_.groupBy("key", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("m").alias("here"), F.first("most").alias("most")).filter("a <> b")
+    split = spool(split.select("key", "band", F.ceil(F.col("here") / F.lit(MEMBERS)).cast("int").alias("blocks"), F.ceil(F.col("here") * F.col("most") / F.lit(SEARCHED)).cast("int").alias("parts")))
     dealt = _in_blocks(open_.select("key", "band", "node", "n", "component").join(split, ["key", "band"]), "blocks").join(profiles, "node")
 
     def sift(g: pd.DataFrame) -> pd.DataFrame:
