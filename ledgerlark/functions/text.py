@@ -81,3 +81,9 @@ def number_cell(text: Column | str) -> Column:
 
 def items(n: Column | str) -> Column:
     return F.concat(col(n).cast("string"), F.when(col(n) == 1, " item").otherwise(" items"))
+
+
+def truncated(text: Column | str, n: int, leeway: int = 5) -> Column:
+    """Cut at the last blank before n characters, with dots; a text that is longer by the leeway at most stays whole."""
+    t = col(text)
+    return F.when(F.length(t) <= n + leeway, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n - 3), r"(?s) [^ ]*\z", ""), F.lit("...")))
