@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import named, prepare, spool, table
 
 #: Pieces of one length that are ranked together.
-RANKED = 4096
+RANKED = 512
 #: Shares of the capacity above which a length is large, and numbers of groups, that the planner tries; it keeps the plan with the fewest sequences.
 LARGE, GROUPS = (8, 4, 3), (64, 256, 1024)
 
