@@ -110,7 +110,8 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     placed = ones.select("leaf", "line", "n", F.size("masked").alias("size"), F.posexplode("masked").alias("p", "token"))
     constant = placed.filter(F.col("token") != VARIABLE).groupBy("leaf", "p", "token").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= min_documents).select("leaf", "p", "token")
     known = placed.join(constant, ["leaf", "p", "token"]).groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("p", "token"))).alias("held"), F.first("size").alias("size"))
-    templates = known.filter(F.size("held") * 2 >= F.col("size")).select("leaf", "line", F.xxhash64("leaf", F.to_json("held")).alias("template"))
+    # Written, so that Spark can split a line that very many documents hold.
+    templates = spool(known.filter(F.size("held") * 2 >= F.col("size")).select("leaf", "line", F.xxhash64("leaf", F.to_json("held")).alias("template")))
     used = spool(lines.select("a", "b", "leaf", "line", "i", "around").join(templates, ["leaf", "line"]).select("a", "b", "i", "template", "around"))
     documents = used.groupBy("template", "a").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents)
     around = used.groupBy("template", "around").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents)
