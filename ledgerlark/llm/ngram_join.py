@@ -292,20 +292,15 @@ def _near_duplicates(docs: DataFrame, words: int, num: int, den: int, text: str,
     split = spool(split.select("key", "band", F.ceil(F.col("here") / F.lit(MEMBERS)).cast("int").alias("blocks"), F.ceil(F.col("here") * F.col("most") / F.lit(SEARCHED)).cast("int").alias("parts")))
     dealt = _in_blocks(open_.select("key", "band", "node", "n", "component").join(split, ["key", "band"]), "blocks").join(profiles, "node")
 
-    def sift(g: pd.DataFrame) -> pd.DataFrame:
-        """Members that may link with one of another component."""
-        p, n = _profiles(g["profile"]), g["n"].to_numpy(np.int64)
-        code = pd.factorize(g["component"])[0]
-        keep = np.zeros(len(g), dtype=bool)
-        for i in range(len(g)):
-            j = np.flatnonzero((code != code[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num))
-            if len(j):
-                j = j[may_link(p[j], p[i][None, :], n[j], n[i], num, den)]
-                keep[j] = True
-                keep[i] |= len(j) > 0
-        return g.loc[keep, ["key", "band", "node", "component", "parts"]]
-
-    left = dealt.groupBy("key", "band", "lo", "hi").applyInPandas(sift, "key long, band int, node binary, component binary, parts int")
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Members that may link with one of another component, of rows that are sorted by list and block pair."""
+        for g in _whole_groups(batches, keys):
+            keep = _members(*(g[c].to_numpy() for c in ("_group", "n", "component", "profile")), num, den)
+            if keep.any():
+                yield g.loc[keep, ["key", "band", "node", "component", "parts"]]
+
+    keys = ["key", "band", "lo", "hi"]
+    left = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(sift, "key long, band int, node binary, component binary, parts int")
     left = spool(left.groupBy("key", "band", "node", "component").agg(F.max("parts").alias("parts")))
     same = left.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")).groupBy("m", "x", "y").agg(F.min(F.struct("key", "band")).alias("l"))
     kept = spool(left.join(same.select("l.key", "l.band"), ["key", "band"], "left_semi"))
@@ -326,6 +321,42 @@ def _near_duplicates(docs: DataFrame, words: int, num: int, den: int, text: str,
     return out.select("id", "mark", "n", "node", "component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups, numbered in _group, of rows that come sorted by keys: there are far too many small groups to handle each alone."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and (batch[keys].iloc[-1] == held[0][keys].iloc[0]).all():  # still the group that is held
+            held.append(batch)
+            continue
+        g = pd.concat([*held, batch], ignore_index=True) if held else batch.reset_index(drop=True)
+        fresh = (g[keys] != g[keys].shift()).any(axis=1).to_numpy()
+        last = int(np.flatnonzero(fresh)[-1])
+        held = [g.iloc[last:]]
+        if last:
+            yield g.iloc[:last].assign(_group=np.cumsum(fresh[:last]))
+    if held:
+        yield pd.concat(held, ignore_index=True).assign(_group=0)
+
+
+def _members(group: np.ndarray, n: np.ndarray, component: np.ndarray, profile_: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows may link with a row of the same group and another component. Rows are compared at a distance of one, two, and so on."""
+    n, keep = n.astype(np.int64), np.zeros(len(n), dtype=bool)
+    code, p = pd.factorize(component)[0], _profiles(profile_)
+    here = np.arange(len(n))
+    away = 1
+    while len(here := here[(here + away < len(n))]) and len(here := here[group[here] == group[here + away]]):
+        there = here + away
+        fits = (code[here] != code[there]) & (np.minimum(n[here], n[there]) * den >= np.maximum(n[here], n[there]) * num) & ~(keep[here] & keep[there])
+        for part in np.array_split(np.flatnonzero(fits), len(here) // 4096 + 1):
+            i, j = here[part], there[part]
+            near = may_link(p[i], p[j], n[i], n[j], num, den)
+            keep[i[near]] = keep[j[near]] = True
+        away += 1
+    return keep
+
+
 def _in_blocks(members: DataFrame, blocks: str) -> DataFrame:
     """Members of a list dealt to pairs of its blocks, lo and hi: any two meet in one."""
     own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")

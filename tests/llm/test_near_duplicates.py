@@ -69,6 +69,34 @@ def test_profiles_never_exclude_a_link():
         assert fits or 10 * both < 8 * (len(a) + len(b) - both)
 
 
+def test_sorted_rows_fall_into_whole_groups():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        rows = pd.DataFrame({"k": np.sort(rng.integers(0, 12, 60)), "j": 0, "v": range(60)})
+        cuts = [0, *sorted(rng.integers(0, 61, 7)), 60]
+        parts = [rows.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = list(N._whole_groups(iter(parts), ["k", "j"]))
+        assert pd.concat(out)["v"].tolist() == list(range(60))
+        assert sum(g.groupby("_group").ngroups for g in out) == rows["k"].nunique() and all((g.groupby("_group")["k"].nunique() == 1).all() for g in out)
+
+
+def test_members_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sets = [np.unique(rng.integers(0, 2**63, rng.integers(5, 60)).astype(np.uint64)) for _ in range(4)]
+        sets = [rng.permutation(sets[rng.integers(4)])[: rng.integers(4, 60)] for _ in range(40)]
+        group, n, comp = np.sort(rng.integers(0, 9, 40)), np.array([len(s) for s in sets]), np.array([bytes([rng.integers(5)]) for _ in sets], dtype=object)
+        prof = np.array([N.profile(s) for s in sets], dtype=object)
+        p = N._profiles(prof)
+        want = [any(group[i] == group[j] and comp[i] != comp[j] and 10 * min(n[i], n[j]) >= 8 * max(n[i], n[j]) and N.may_link(p[[i]], p[[j]], n[[i]], n[[j]], 8, 10)[0] for j in range(40) if j != i) for i in range(40)]
+        assert N._members(group, n, comp, prof, 8, 10).tolist() == want
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
