@@ -26,6 +26,7 @@ import heapq
 import math
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,7 +131,11 @@ def divide_skip(lists: list[list[int]], need: int, accept) -> None:
 
 
 def search(sets: list[list[int]], names: list, groups: list, num: int, den: int) -> list[tuple]:
-    """Links between nodes that groups don't already hold together; links within what they join are left out."""
+    """Links between nodes that groups don't already hold together; links within what they join are left out.
+
+    Members of the largest group have an index of their own, which they don't ask themselves: a list is often one group and a
+    few others.
+    """
     parent: dict = {}
 
     def root(x):
@@ -140,7 +145,10 @@ def search(sets: list[list[int]], names: list, groups: list, num: int, den: int)
         return x
 
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    index: dict[int, list[int]] = {}
+    largest = Counter(groups).most_common(1)[0][0] if groups else None
+    main: dict[int, list[int]] = {}
+    rest: dict[int, list[int]] = {}
+    roots = set(groups)
     out = []
     for place, i in enumerate(order):
         own = sets[i]
@@ -150,12 +158,16 @@ def search(sets: list[list[int]], names: list, groups: list, num: int, den: int)
             if count is None:
                 return len(sets[other]) * den >= num * len(own) and root(groups[other]) != root(groups[i])
             if count >= overlap(len(own), len(sets[other]), num, den) and root(groups[other]) != root(groups[i]):
+                roots.discard(root(groups[i]))
                 parent[root(groups[i])] = root(groups[other])
                 out.append((names[i], names[other]))
             return True
 
-        found = [x for e in own if (x := index.get(e)) is not None]
-        divide_skip(found, -(-num * len(own) // den), accept)
+        need = -(-num * len(own) // den)
+        for index in (rest,) if groups[i] == largest else (rest, main):
+            if len(roots) > 1 and index:
+                divide_skip([x for e in own if (x := index.get(e)) is not None], need, accept)
+        index = main if groups[i] == largest else rest
         for e in own:
             index.setdefault(e, []).append(place)
     return out

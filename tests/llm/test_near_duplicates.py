@@ -55,6 +55,9 @@ def test_search_finds_what_brute_force_finds():
         num, den = rng.choice([(90, 100), (8, 10), (5, 10)])
         names = list(range(len(sets)))
         assert roots(N.search([sorted(s) for s in sets], names, names, num, den), len(sets)) == roots(linked(sets, num, den), len(sets))
+        known = [x for x in linked(sets, num, den) if rng.random() < 0.5]
+        got = N.search([sorted(s) for s in sets], names, roots(known, len(sets)), num, den)
+        assert roots(known + got, len(sets)) == roots(linked(sets, num, den), len(sets))
 
 
 def test_profiles_never_exclude_a_link():
