@@ -3,9 +3,15 @@
 A line's tokens lead down a tree of fixed depth: the token count, then the first DEPTH tokens, in which anything with a
 digit counts as a variable. The leaf generalises what is left: in a leaf, a token at a position is constant if at least
 MIN_DOCUMENTS documents have it there, and variable if not. A line's template is its leaf with the constants; a template
-is recurring if at least half of its tokens are constant and it occurs in at least MIN_DOCUMENTS documents and in as many
-different surroundings, that is, pairs of the lines before and after. Copies of a document bring the same surroundings
-again, so a much copied document isn't taken for boilerplate. Lines of recurring templates are dropped.
+is a candidate if at least half of its tokens are constant and it occurs in at least MIN_DOCUMENTS documents. A line's
+surroundings are the nearest lines before and after that are neither blank nor of a candidate, so the lines of a repeated
+block share what stands outside the block. A candidate is recurring if it has at least MIN_DOCUMENTS different surroundings.
+
+Copies must not count as surroundings. Those of exact copies are the same. Documents that are at least MOSTLY candidates' lines
+may be near copies: they count as one for each least hash of a candidate in them, which near copies share whichever lines
+differ. If they are less than NEARLY that, and those with exactly the same candidates have at least half of the template's
+surroundings in such documents, they are carriers of one block and their surroundings count: near copies differ in which lines
+were changed. Lines of recurring templates are dropped.
 
 A document of which less than KEPT_SHARE would stay is left whole: it is a copy, not a carrier of boilerplate, and
 deduplication of documents deals with it. Lines are split at line feeds; blank lines have no template and stay. A null text
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import in_bitmap, prepare, slot_bitmap, spool, table
 
 DEPTH, MIN_DOCUMENTS, KEPT_SHARE = 3, 10, 0.5
+#: Shares of a document's characters in candidates' lines: above the first it may be a near copy, above the second it is taken for one.
+MOSTLY, NEARLY = 0.5, 0.8
 #: Tokens of a line that the leaf generalises; a longer line's remainder is one token more.
 TOKENS = 64
 VARIABLE = "\x00"
@@ -96,14 +104,12 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
                     continue
                 some = in_bitmap(bitmap.value, np.array([x for x, _, _ in found], dtype=np.int64))
                 if some.any():
-                    lines = t.split("\n")
                     for (x, i, masked), hit in zip(found, some, strict=True):
                         if hit:
-                            around = _hash("\x01".join([lines[i - 1] if i else "\x02", lines[i + 1] if i + 1 < len(lines) else "\x02"]))
-                            out.append((a, b, x, _hash("\x01".join(masked)), i, around, _short(masked)))
-            yield pd.DataFrame(out, columns=["a", "b", "leaf", "line", "i", "around", "masked"]).astype({c: "int64" for c in ("a", "b", "leaf", "line", "i", "around")})
+                            out.append((a, b, x, _hash("\x01".join(masked)), i, _short(masked)))
+            yield pd.DataFrame(out, columns=["a", "b", "leaf", "line", "i", "masked"]).astype({c: "int64" for c in ("a", "b", "leaf", "line", "i")})
 
-    lines = spool(named.mapInPandas(second, "a long, b long, leaf long, line long, i long, around long, masked array<string>").join(full, "leaf", "left_semi"))
+    lines = spool(named.mapInPandas(second, "a long, b long, leaf long, line long, i long, masked array<string>").join(full, "leaf", "left_semi"))
     # One row for each different line; what it weighs is the number of its documents.
     ones = lines.groupBy("leaf", "line", "a").agg(F.first("masked").alias("masked")).groupBy("leaf", "line").agg(F.first("masked").alias("masked"), F.count(F.lit(1)).alias("n"))
     ones = spool(ones)
@@ -112,13 +118,57 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     known = placed.join(constant, ["leaf", "p", "token"]).groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("p", "token"))).alias("held"), F.first("size").alias("size"))
     # Written, so that Spark can split a line that very many documents hold.
     templates = spool(known.filter(F.size("held") * 2 >= F.col("size")).select("leaf", "line", F.xxhash64("leaf", F.to_json("held")).alias("template")))
-    used = spool(lines.select("a", "b", "leaf", "line", "i", "around").join(templates, ["leaf", "line"]).select("a", "b", "i", "template", "around"))
-    documents = used.groupBy("template", "a").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents)
-    around = used.groupBy("template", "around").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents)
-    both = spool(documents.select("template").join(around.select("template"), "template"))
+    used = spool(lines.select("a", "b", "leaf", "line", "i").join(templates, ["leaf", "line"]).select("a", "b", "i", "template"))
+    documents = spool(used.groupBy("template", "a").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("template"))
+    used = spool(used.join(documents, "template", "left_semi"))
+    both = spool(_carried(named, used, min_documents))
     return used.join(both, "template", "left_semi").groupBy("a", "b").agg(F.sort_array(F.collect_set(F.col("i").cast("int"))).alias("lines"))
 
 
+def _carried(named: DataFrame, used: DataFrame, min_documents: int) -> DataFrame:
+    """template: those of candidates' lines, used, that have enough surroundings."""
+    blank = F.lit(r"(?U)^[\s\x1c-\x1f]*$")
+    every = F.split("t", "\n")
+    shown = named.select("a", "b", F.transform(every, lambda x: F.when(~F.rlike(x, blank), F.xxhash64(x))).alias("hashes"), F.transform(every, F.length).alias("sizes"))
+    held = used.groupBy("a", "b").agg(F.collect_set(F.struct("i", "template")).alias("held"))
+    held = held.select("a", "b", F.col("held.i").alias("at"), F.col("held.template").alias("templates"))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for hashes, sizes, at, templates in zip(batch["hashes"], batch["sizes"], batch["at"], batch["templates"], strict=True):
+                out += _evidence(list(hashes), list(sizes), dict(zip(at, templates, strict=True)))
+            yield pd.DataFrame(out, columns=["template", "held", "mid", "value"]).astype({"template": "int64", "held": "int64", "mid": "bool", "value": "int64"})
+
+    texts = shown.withColumn("hashes", F.transform("hashes", lambda x: x.cast("string"))).join(held, ["a", "b"]).drop("a", "b")
+    seen = texts.mapInPandas(look, "template long, held long, mid boolean, value long").distinct()
+    counts = seen.groupBy("template", "held", "mid").agg(F.count(F.lit(1)).alias("n"))
+    light, mostly = F.col("held") == 0, F.col("held") != 0
+    counts = counts.groupBy("template").agg(F.max(F.when(light, F.col("n"))).alias("apart"), F.max(F.when(F.col("mid"), F.col("n"))).alias("block"), F.sum(F.when(mostly, F.col("n"))).alias("all"))
+    return counts.filter((F.col("apart") >= min_documents) | ((F.col("block") >= min_documents) & (F.col("block") * 2 >= F.col("all")))).select("template")
+
+
+def _evidence(hashes: list, sizes: list, held: dict[int, int]) -> set[tuple[int, int, bool, int]]:
+    """What a document says of its candidates: template, 0 or the hash of all its candidates, whether they are less than NEARLY all, and
+    what counts once. hashes has a line's hash, None for blank ones; held the candidates by line."""
+    lines = [j for j, x in enumerate(hashes) if x is not None]
+    sides: dict[int, list[str]] = {j: [] for j in held}
+    for order in (lines, lines[::-1]):
+        last = "\x02"
+        for j in order:
+            if j in sides:
+                sides[j].append(last)
+            else:
+                last = hashes[j]
+    around = {(t, _hash("\x01".join(sides[j]))) for j, t in held.items()}
+    share = sum(sizes[j] for j in held) / max(sum(sizes[j] for j in lines), 1)
+    if share < MOSTLY:
+        return {(t, 0, False, x) for t, x in around}
+    all_, least = sorted(set(held.values())), min(held.values())
+    code = _hash(repr(all_)) or 1
+    return {(t, code, share < NEARLY, x) for t, x in around} | {(t, 0, False, least) for t in all_}
+
+
 def drop_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """docs with their texts less the recurring lines, and _lines: how many there were, _dropped: the numbers of those dropped."""
     found = spool(recurring_lines(docs, text, key, min_documents))

@@ -36,6 +36,26 @@ def test_copies_are_not_boilerplate(spark):
     assert set(cleaned(make(spark, texts)).values()) == set(texts)
 
 
+def test_blocks_of_several_lines(spark):
+    head, foot = "Welcome to our little site\nHome News Contact Imprint", "All rights reserved here.\n\nUse is subject to terms.\nWrite to the editors please."
+    bodies = [f"{own(w)}\n{own(w + w)}\n{own(w + 'x')}" for w in "abcdefghijkl"]
+    got = cleaned(make(spark, [f"{head}\n{b}\n{foot}" for b in bodies]))
+    assert [got[i].strip() for i in range(12)] == bodies
+
+
+def test_paragraphs_parted_by_blank_lines(spark):
+    bodies = [f"{own(w)}\n\n{own(w + w)}" for w in "abcdefghijkl"]
+    got = cleaned(make(spark, [f"{b}\n\nAll rights reserved here." for b in bodies]))
+    assert [got[i].strip() for i in range(12)] == bodies
+
+
+def test_near_copies_are_not_boilerplate(spark):
+    lines = [own(w) for w in "abcdefghijklmnopqrst"]
+    for changed in (1, 2, 6):
+        texts = ["\n".join(own(chr(0x4E00 + 40 * k + i)) if (k - i * 7) % 20 in range(changed) else x for k, x in enumerate(lines)) for i in range(40)]
+        assert set(cleaned(make(spark, texts)).values()) == set(texts)
+
+
 def test_a_document_of_boilerplate_stays(spark):
     texts = [f"All rights reserved here.\n{own(w)}" for w in "abcdefghijkl"] + ["All rights reserved here."]
     got = cleaned(make(spark, texts))
