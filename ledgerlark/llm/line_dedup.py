@@ -13,8 +13,8 @@ differ. If they are less than NEARLY that, and those with exactly the same candi
 surroundings in such documents, they are carriers of one block and their surroundings count: near copies differ in which lines
 were changed. Lines of recurring templates are dropped.
 
-A document of which less than KEPT_SHARE would stay is left whole: it is a copy, not a carrier of boilerplate, and
-deduplication of documents deals with it. Lines are split at line feeds; blank lines have no template and stay. A null text
+A document of which nothing but blank lines would stay is left whole; any other loses all its recurring lines, however few others
+it has: templates that only copies hold aren't recurring. Lines are split at line feeds; blank lines have no template and stay. A null text
 stays null and an empty one empty. Repeated rows count as one document and are treated alike; an empty table gives an empty
 result; other columns stay as they are.
 """
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import in_bitmap, prepare, slot_bitmap, spool, table
 
-DEPTH, MIN_DOCUMENTS, KEPT_SHARE = 3, 10, 0.5
+DEPTH, MIN_DOCUMENTS = 3, 10
 #: Shares of a document's characters in candidates' lines: above the first it may be a near copy, above the second it is taken for one.
 MOSTLY, NEARLY = 0.5, 0.8
 #: Tokens of a line that the leaf generalises; a longer line's remainder is one token more.
 TOKENS = 64
 VARIABLE = "\x00"
+#: A line, or several, without any token.
+BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 _DIGIT = re.compile(r"\d")
 
@@ -127,9 +129,8 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
 
 def _carried(named: DataFrame, used: DataFrame, min_documents: int) -> DataFrame:
     """template: those of candidates' lines, used, that have enough surroundings."""
-    blank = F.lit(r"(?U)^[\s\x1c-\x1f]*$")
     every = F.split("t", "\n")
-    shown = named.select("a", "b", F.transform(every, lambda x: F.when(~F.rlike(x, blank), F.xxhash64(x))).alias("hashes"), F.transform(every, F.length).alias("sizes"))
+    shown = named.select("a", "b", F.transform(every, lambda x: F.when(~F.rlike(x, F.lit(BLANK)), F.xxhash64(x))).alias("hashes"), F.transform(every, F.length).alias("sizes"))
     held = used.groupBy("a", "b").agg(F.collect_set(F.struct("i", "template")).alias("held"))
     held = held.select("a", "b", F.col("held.i").alias("at"), F.col("held.template").alias("templates"))
 
@@ -176,7 +177,7 @@ def drop_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_doc
     joined = named.join(found, ["a", "b"], "left")
     rest = F.array_join(F.filter("all", lambda _, i: ~F.array_contains(F.col("lines"), i)), "\n")
     joined = joined.withColumn("rest", F.when(F.col("lines").isNotNull(), rest))
-    joined = joined.withColumn("whole", F.col("rest").isNull() | (F.length("rest") < KEPT_SHARE * F.length("t")))
+    joined = joined.withColumn("whole", F.col("rest").isNull() | F.rlike("rest", F.lit(BLANK)))
     held = [F.when(F.col("whole"), F.col("t")).otherwise(F.col("rest")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return joined.select(*held, F.size("all").alias("_lines"), F.when(F.col("whole"), F.array().cast("array<int>")).otherwise(F.col("lines")).alias("_dropped"))
 

@@ -62,6 +62,19 @@ def test_a_document_of_boilerplate_stays(spark):
     assert got[12] == texts[12] and all("rights" not in got[i] for i in range(12))
 
 
+def test_short_documents_lose_a_long_passage(spark):
+    passage = " ".join(f"{c}{d}" for c in "pqrst" for d in "abcdefghij")
+    short = [" ".join(w + c for c in "abcdefghijklmnopqrst") for w in "ABCDEFGHIJKL"]
+    got = cleaned(make(spark, [f"{passage}\n{w}" for w in short]))
+    assert [got[i] for i in range(12)] == short
+
+
+def test_what_is_proven_by_long_documents_goes_from_short_ones(spark):
+    notice = "All rights reserved here by us and by all of our friends."
+    got = cleaned(make(spark, [f"{notice}\n{own(w)}" for w in "abcdefghijkl"] + [f"{notice}\nshort", f"{notice}\n\n \t"]))
+    assert got[12] == "short" and got[13] == f"{notice}\n\n \t"
+
+
 def test_odd_rows(spark, odd):
     out = L.drop_lines(odd, min_documents=1)
     assert out.count() == odd.count() and out.columns[:-2] == odd.columns
