@@ -40,6 +40,17 @@ def test_held_out_accuracy(spark):
     assert clean["kept"].mean() > 0.96
 
 
+def test_all_trusted_documents_count(spark, monkeypatch):
+    """No language loses its own shard to a limit on documents or languages."""
+    docs = spark.createDataFrame([(i, " ".join(f"{w}{(i * 7 + k) % 11}" for k in range(9)), w) for i, w in enumerate(("ab", "cd", "xy") * 40)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    read = lambda: {r["id"]: r["perplexity"] for r in Q.judge(docs, labels).collect()}
+    whole = read()
+    monkeypatch.setattr(Q, "SAMPLE", 30, raising=False)
+    monkeypatch.setattr(Q, "LANGUAGES", 1)
+    assert read() == whole
+
+
 def test_odd_rows(spark, odd, labels):
     assert Q.judge(odd, labels).count() == odd.count()
     kept = Q.keep_good(odd, labels)
