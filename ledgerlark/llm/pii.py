@@ -119,13 +119,19 @@ def base_spans(text: str, failed: list | None = None) -> list[tuple[str, int, in
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
+def _in_a_row(text: str, m: re.Match) -> bool:
+    """Whether numbers parted by blanks go on before or after the match: a row of numbers, not a phone."""
+    near = text[max(0, m.start() - 2) : m.start()], text[m.end() : m.end() + 2]
+    return re.fullmatch(r"[0-9\x20]+", m.group()) is not None and (re.fullmatch(r"[0-9]\x20", near[0]) or re.fullmatch(r"\x20[0-9]", near[1])) is not None
+
+
 def loose_spans(text: str, base: list[tuple[str, int, int]], failed: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """What the looser patterns propose besides, and matches that failed their check, without overlap."""
-    found = list(failed)
+    """What the looser patterns propose besides, and, where they leave room, matches that failed their check; without overlap."""
+    found = []
     if "(at" in text or "[at" in text or "(AT" in text or "[AT" in text:
         found += [("email", *m.span()) for m in _LOOSE_MAIL.finditer(text)]
     if _DIGIT.search(text):
-        found += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text)]
+        found += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text) if not _in_a_row(text, m)]
         found += [("account", *m.span()) for m in _ACCOUNT.finditer(text)]
     if "=" in text or ":" in text:
         found += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
@@ -138,7 +144,8 @@ def loose_spans(text: str, base: list[tuple[str, int, int]], failed: list[tuple[
         else:
             taken.append((s, e))
     out = []
-    for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
+    longest = lambda x: (x[1], -x[2])
+    for kind, s, e in sorted(found, key=longest) + sorted(failed, key=longest):
         i = bisect.bisect_left(taken, (s, e))
         if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
             out.append((kind, s, e))

@@ -50,6 +50,13 @@ def test_votes_decide():
     assert (model.reliability >= 0.5).all()
 
 
+def test_failed_matches_leave_looser_candidates():
+    for kind, span in (("account", "123-45-6789"), ("phone", "555-123-4567"), ("phone", "555 123 4567")):
+        assert [x[:3] for x in pii.candidates(f"it is {span} so")] == [(kind, 6, 6 + len(span))]
+    assert ("account", 5, 16) in [x[:3] for x in pii.candidates("2024 123-45-6789")]
+    assert [x[0] for x in pii.candidates("order 1234567890")] == [x[0] for x in pii.candidates("997 998 999 1000 1001")] == ["card"]
+
+
 def test_no_votes_at_all():
     assert pii.redacted("x a@b.co", pii.Model({})) == "x <EMAIL>"
 
