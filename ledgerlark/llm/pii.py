@@ -37,7 +37,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _LOOSE_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(][Aa][Tt][\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(][Dd][Oo][Tt][\])])\x20?[A-Za-z0-9-]{1,63}){1,4}")
-_SECRET = re.compile(r"(?i)(?:api[_-]?key|token|secret|passw(?:or)?d)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,256})")
+_SECRET = re.compile(r"(?i)(?:api[_-]?key|token|secret|passw(?:or)?d)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,}+)")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])")
 _PERSON = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)\.?\x20([A-Z][^\W\d_]{1,30}(?:\x20[A-Z][^\W\d_]{1,30})?)")
 _TITLES = ("Mr", "Ms", "Dr", "Herr ", "Frau ", "Mme", "Sr")

@@ -57,6 +57,11 @@ def test_failed_matches_leave_looser_candidates():
     assert [x[0] for x in pii.candidates("order 1234567890")] == [x[0] for x in pii.candidates("997 998 999 1000 1001")] == ["card"]
 
 
+def test_long_secrets_to_their_end():
+    text = "token = " + "aB3x" * 500 + " end"
+    assert [x[:3] for x in pii.candidates(text)] == [("secret", 8, 2008)]
+
+
 def test_no_votes_at_all():
     assert pii.redacted("x a@b.co", pii.Model({})) == "x <EMAIL>"
 
