@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import named, prepare, spool, table
 
-#: Pieces of one length that are ranked together.
-RANKED = 512
+#: Pieces of one length that are ranked together, while they make no more than PARTS parts.
+RANKED, PARTS = 512, 8192
 #: Shares of the capacity above which a length is large, and numbers of groups, that the planner tries; it keeps the plan with the fewest sequences.
 LARGE, GROUPS = (8, 4, 3), (64, 256, 1024)
 
@@ -180,7 +180,8 @@ class Encoder:
     """Ids as the tokenizers library gives them for a tokenizer file.
 
     A plain byte-level BPE file, whose merges stand in the order of their results' ids, is run by tiktoken, which gives the
-    same ids several times faster; any other file is run by tokenizers itself. Special tokens' strings are ordinary text.
+    same ids several times faster; any other file is run by tokenizers itself. Special tokens' strings in a text become their
+    ids, as the library reads them unless told otherwise.
     """
 
     def __init__(self, definition: str):
@@ -189,8 +190,10 @@ class Encoder:
         split = d.get("pre_tokenizer") or {}
         plain = model["type"] == "BPE" and d.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
-        special = {t["content"] for t in d.get("added_tokens", ())}
-        if plain and all(t.get("special") for t in d.get("added_tokens", ())):
+        special = {t["content"]: t["id"] for t in d.get("added_tokens", ())}
+        flags = ("lstrip", "rstrip", "single_word", "normalized")
+        apart = not any(a != b and a in b for a in special for b in special)
+        if plain and apart and all(t.get("special") and not any(t.get(f) for f in flags) for t in d.get("added_tokens", ())):
             byte = _byte_of_char()
             vocabulary = {w: i for w, i in model["vocab"].items() if w not in special}
             merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
@@ -199,12 +202,12 @@ class Encoder:
                 import tiktoken
 
                 ranks = {bytes(byte[c] for c in w): i for w, i in vocabulary.items()}
-                self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+                bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+                self.encode = lambda text: bpe.encode(text, allowed_special="all") if any(x in text for x in special) else bpe.encode_ordinary(text)
                 return
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(definition)
-        tokenizer.encode_special_tokens = True
         self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -249,7 +252,7 @@ def pack(docs: DataFrame, definition: str, capacity: int = 2048, end: int = 0, t
     pieces = spool(cut(docs, definition, capacity, end, text, key, keep_ids))
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # no more rows than capacity
     plan = spark.sparkContext.broadcast(best_plan(counts, capacity).intervals())
-    parts = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], "length long, parts long")
+    parts = spark.createDataFrame([(n, min(-(-c // RANKED), PARTS)) for n, c in counts.items()], "length long, parts long")
     dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), "parts"))
     before = dealt.groupBy("length", "part").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).drop("count")
     order = Window.partitionBy("length", "part").orderBy(key, "piece", "start", "ids_crc32")
