@@ -40,3 +40,12 @@ def test_no_pages_and_many_rules(spark, monkeypatch):
     assert U.url_filter(pages.limit(0)).count() == 0
     monkeypatch.setattr(U, "BROADCAST_RULES", 0)
     assert U.url_filter(pages).collect()[0]["rule"] == "com/de/"
+
+
+def test_ties_long_urls_and_clashing_columns(spark):
+    """Of two rules of one rank the one with the least name decides; other columns, whatever their names, play no part."""
+    rows = [(1, "http://casino.porn.net/", "x", 1), (2, "http://porn.casino.net/", None, None), (3, "http://a.com/" + "torrent/a" * 40_000 + "/torrent/x", "y", 2), (4, "http://" + "a." * 50_000 + "com/de/", "z", 3)]
+    got = {r["page_id"]: r for r in U.url_filter(spark.createDataFrame(rows, "page_id long, url string, token string, row int")).collect()}
+    assert [got[i]["pattern"] for i in range(1, 5)] == ["host:casino", "host:casino", "path:torrent", "com/de/"] and got[4]["rule"] == "com/de/"
+    odd = spark.createDataFrame([(1, "http://a.com/de/", "h", "p", "r", "v", "n", 1)], "page_id long, url string, host string, path string, rule string, verdict string, name string, row int")
+    assert [tuple(r) for r in U.url_filter(odd).collect()] == [(1, "a.com", "/de/", "com/de/", "block", "com/de/")]
