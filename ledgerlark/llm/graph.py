@@ -1,4 +1,7 @@
-"""Connected components by alternating stars; every step is a join and a minimum, so no vertex's neighbours are gathered."""
+"""Connected components by alternating stars; every step is a join and a minimum, so no vertex's neighbours are gathered.
+
+Minima are written before the joins that use them, so that Spark can split the edges of a vertex that very many share.
+"""
 
 from __future__ import annotations
 
@@ -16,11 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (the least node that can be reached) for every node of the links (u, v). No links: no rows."""
     e = spool(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
-    while before[0]:
+    while before[0]:  # a vertex's least neighbour, then stars of what is larger, then of what is smaller
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = spool(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = spool(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = spool(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = spool(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = _state(e)

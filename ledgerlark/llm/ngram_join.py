@@ -1,19 +1,21 @@
 """N-gram Jaccard join: T-occurrence search over inverted lists by DivideSkip.
 
 Two documents link when the Jaccard similarity of their shingle sets reaches num / den; the result is each document's
-component. It is exact, up to collisions of 64-bit shingle hashes:
-
-1. Documents with one set are one node (named by 128 bits), so copies meet once, whatever their number.
-2. Shingles are ordered by how common they are, as counted over all documents by a sketch of fixed size, then by hash. Two
-   sets that link share one of their first size - T + 1 shingles, T the overlap that a link needs. Only these enter
-   inverted lists, and lists with one node, nearly all, end there. The order makes lists of common shingles rare; any order
-   gives the same links.
-3. The nodes of a list are compared with the list's least node. Lists with the same nodes are compared once.
-4. A list whose nodes are then in one component can't change the result. From the others go nodes whose profiles, the
-   numbers of their shingles in 256 classes, allow no link. What is left is searched whole: the overlap that a
-   node needs with earlier ones is counted by heap-merging its short inverted lists, skipping what can't reach T less the
-   number of long lists, and by binary probes into the long ones. A list too long for one task is dealt into blocks, and
-   each pair of blocks is searched.
+component. It is exact, up to collisions of 64-bit hashes (of shingles, and of the sets that share a text's shingles):
+
+1. Documents with one set are one node, so copies meet once, whatever their number.
+2. Candidates. Sets that link differ in at most k shingles, k known from their sizes. A set's shingles are dealt by their hashes
+   into k + 1 + x classes, so at least 1 + x classes are the same in both. Under any order of classes by what they hold, the k + 1
+   first of both sets then share one: here the fullest, so that a class names several shingles and hardly ever agrees by chance.
+   How often single shingles occur in the corpus doesn't matter, so the work per document doesn't grow with the corpus. Sizes
+   fall into bands whose neighbours alone can link; a set posts its classes for its own band and the next.
+3. A list, the nodes that share a class, is led by its node with the most shared classes, often the text that the others were
+   made from. The leader asks the inverted lists of blocks of its followers which of them reach the overlap T that a link
+   needs: short lists are merged with a heap that skips what can't reach T less the number of long lists, and long ones are
+   probed by binary search.
+4. A list whose nodes are then in one component can't change the result. The nodes of the others are searched whole, each asking
+   the inverted lists of those before it, those of one candidate group together. A group too large for one task is dealt into
+   blocks; nodes outside its largest component ask all blocks, the others only their own.
 
 A null text counts as empty; an empty set links with nothing, and its component is its own id. Repeated rows get one result
 each. A component's id is its smallest non-null id. An empty table gives an empty result; other columns play no part.
@@ -24,10 +26,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,14 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import in_bitmap, prepare, slot_bitmap, small_batches, spool, table
 from .graph import components
-from .shingles import shingle_set
+from .shingles import mix, shingle_set
 
-#: Counters of the sketch; its parts, which are summed apart.
-COUNTERS, PARTS = 1 << 22, 16
-#: Shingles, and profiles, that one task of the search holds: half of that for each of two blocks.
-SEARCHED, MEMBERS = 2_000_000, 4_000
+#: Followers that a leader asks at once; shingles that one task of the last search holds.
+FOLLOWERS, SEARCHED = 1_000, 2_000_000
 #: DivideSkip's weight of a long list's length in choosing how many lists are long.
 MU = 0.0085
+_LONGEST = 1 << 31
+_POSTED = 200_000
 
 
 def _node(found: np.ndarray) -> bytes:
@@ -54,38 +56,38 @@ def _short(node: bytes) -> int:
     return int.from_bytes(node[:8], "big", signed=True)
 
 
-#: The same of a node column.
-_SHORT = "CAST(conv(hex(substring({0}, 1, 8)), 16, -10) AS BIGINT)"
-
-
-def profile(found: np.ndarray) -> bytes:
-    """How many shingles of a set fall into each of 256 classes, as 16-bit numbers; a full class counts as endless."""
-    return np.minimum(np.bincount((found >> np.uint64(48) & np.uint64(255)).astype(np.int64), minlength=256), 0xFFFF).astype("<u2").tobytes()
-
-
-def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sets with these profiles (rows of a and b) and sizes can link: an intersection takes from a class no more than either set has."""
-    most = np.minimum(a, b).astype(np.int64).sum(1)
-    endless = ((a == 0xFFFF) & (b == 0xFFFF)).any(1)
-    return endless | (most * (num + den) >= num * (n + m))
-
-
-def _profiles(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype="<u2").reshape(-1, 256)
-
-
 def overlap(a: int, b: int, num: int, den: int) -> int:
     """The least intersection with which sets of these sizes link."""
     return -(-num * (a + b) // (num + den))
 
 
-def prefix(found: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The rarest shingles of a set, one more than it can spare."""
-    keep = len(found) + (-num * len(found) // den) + 1
-    if keep >= len(found):
-        return found
-    order = levels[(found & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
-    return found[np.argpartition(order, keep - 1)[:keep]]
+@cache
+def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least size of each band; by band, how many shingles sets that link may differ in, the smaller from the band before."""
+    low = [1]
+    while low[-1] < _LONGEST:
+        low.append(low[-1] * den // num + 1)
+    most = [0] + [((b - 1) + (b - 1) * den // num) * (den - num) // (num + den) for b in low[1:]]
+    return np.array(low), np.array(most)
+
+
+def classes(found: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Names of the classes that a set posts, of its own band and the next; none where only equal sets link."""
+    low, most = bands(num, den)
+    own = int(np.searchsorted(low, len(found), side="right")) - 1
+    out = []
+    for band in (own, own + 1):
+        k = int(most[band])
+        if not k:
+            continue
+        count = k + 2 + k // 4
+        at = (found % np.uint64(count)).astype(np.int64)
+        size = np.bincount(at, minlength=count)
+        halves = [np.bincount(at, weights=(found >> np.uint64(s) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=count).astype(np.uint64) for s in (0, 32)]
+        names = mix(mix(halves[0] + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + halves[1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band))
+        order = (255 - np.minimum(size, 255)).astype(np.uint64) << np.uint64(56) | names >> np.uint64(8)
+        out.append(names[np.argpartition(order, k)[: k + 1]])
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
 def divide_skip(lists: list[list[int]], need: int, accept) -> None:
@@ -93,9 +95,9 @@ def divide_skip(lists: list[list[int]], need: int, accept) -> None:
 
     accept is asked first with count None and returns whether the id is of interest. Lists are ascending.
     """
-    lists = sorted(lists, key=len)
     if len(lists) < need or need < 1:
         return
+    lists = sorted(lists, key=len)
     many = min(need - 1, len(lists) - 1, int(need / (MU * math.log2(len(lists[-1]) + 1) + 1)))
     short, long_ = lists[: len(lists) - many], lists[len(lists) - many :]
     least = need - many
@@ -130,11 +132,37 @@ def divide_skip(lists: list[list[int]], need: int, accept) -> None:
                     heapq.heappush(heads, (short[k][i], k, i))
 
 
-def search(sets: list[list[int]], names: list, groups: list, num: int, den: int) -> list[tuple]:
+def followers(leader: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
+    """Which of the sets link with the leader, by their places: the leader's shingles ask the inverted lists of the sets."""
+    if not len(leader) or not sets:
+        return []
+    sizes = [len(x) for x in sets]
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    at = np.minimum(np.searchsorted(leader, every), len(leader) - 1)
+    held = leader[at] == every
+    at, owner = at[held], owner[held]
+    order = np.argsort(at, kind="stable")  # owners stay in order inside a list
+    at, owner = at[order], owner[order].tolist()
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(owner)] if len(owner) else [0]
+    lists = [owner[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = []
+
+    def accept(i: int, count: int | None) -> bool:
+        if count is not None and count >= overlap(len(leader), sizes[i], num, den):
+            out.append(i)
+        return True
+
+    least = max(min(sizes), -(-num * len(leader) // den))  # smaller sets can't link
+    divide_skip(lists, overlap(len(leader), least, num, den), accept)
+    return out
+
+
+def search(sets: list[list[int]], names: list, groups: list, num: int, den: int, guests: int = 0) -> list[tuple]:
     """Links between nodes that groups don't already hold together; links within what they join are left out.
 
     Members of the largest group have an index of their own, which they don't ask themselves: a list is often one group and a
-    few others.
+    few others. The last `guests` sets ask the others, but not one another.
     """
     parent: dict = {}
 
@@ -144,8 +172,9 @@ def search(sets: list[list[int]], names: list, groups: list, num: int, den: int)
             x = parent[x]
         return x
 
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    largest = Counter(groups).most_common(1)[0][0] if groups else None
+    hosts = len(sets) - guests
+    order = sorted(range(hosts), key=lambda i: len(sets[i])) + list(range(hosts, len(sets)))
+    largest = Counter(groups[:hosts]).most_common(1)[0][0] if hosts else None
     main: dict[int, list[int]] = {}
     rest: dict[int, list[int]] = {}
     roots = set(groups)
@@ -156,7 +185,7 @@ def search(sets: list[list[int]], names: list, groups: list, num: int, den: int)
         def accept(at: int, count: int | None, i=i, own=own) -> bool:
             other = order[at]
             if count is None:
-                return len(sets[other]) * den >= num * len(own) and root(groups[other]) != root(groups[i])
+                return min(len(sets[other]), len(own)) * den >= num * max(len(sets[other]), len(own)) and root(groups[other]) != root(groups[i])
             if count >= overlap(len(own), len(sets[other]), num, den) and root(groups[other]) != root(groups[i]):
                 roots.discard(root(groups[i]))
                 parent[root(groups[i])] = root(groups[other])
@@ -167,51 +196,36 @@ def search(sets: list[list[int]], names: list, groups: list, num: int, den: int)
         for index in (rest,) if groups[i] == largest else (rest, main):
             if len(roots) > 1 and index:
                 divide_skip([x for e in own if (x := index.get(e)) is not None], need, accept)
-        index = main if groups[i] == largest else rest
-        for e in own:
-            index.setdefault(e, []).append(place)
+        if place < hosts:
+            index = main if groups[i] == largest else rest
+            for e in own:
+                index.setdefault(e, []).append(place)
     return out
 
 
 def _scan(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).cast("string").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-
-
-def _sets(scan: DataFrame, emit, schema: str, words: int) -> DataFrame:
-    """emit(set, node) gives the rows of each different set that a task meets."""
-    width = len(schema.split(","))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
-        for batch in batches:
-            rows = []
-            for t in batch["t"]:
-                found = shingle_set(t, words)
-                if len(found) and (node := _node(found)) not in seen:
-                    seen.add(node)
-                    rows += emit(found, node)
-            if rows:
-                yield pd.DataFrame({i: [r[i] for r in rows] for i in range(width)})
-
-    return scan.select("t").mapInPandas(run, schema)
-
+    """id and a hash of the text, which name a row, a hash of both, and the text."""
+    own = F.col(key).cast("string")
+    return docs.select(own.alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.xxhash64(own, F.col(text)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
-def _levels(counted: DataFrame) -> np.ndarray:
-    """How common the shingles of each counter are, in 256 steps. Sketches are summed in two rounds, each of bounded groups."""
-    size = COUNTERS // PARTS
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(size, dtype=np.int64)
-        for b in group["blob"]:
-            out += np.frombuffer(zlib.decompress(b), dtype="<i8")
-        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "blob": [zlib.compress(out.tobytes(), 1)]})
-
-    once = counted.withColumn("salt", F.col("id") % 512).groupBy("part", "salt").applyInPandas(total, "part int, blob binary")
-    levels = np.zeros(COUNTERS, dtype=np.uint8)
-    for r in once.groupBy("part").applyInPandas(total, "part int, blob binary").toLocalIterator():
-        part = np.frombuffer(zlib.decompress(r["blob"]), dtype="<i8")
-        levels[r["part"] * size : (r["part"] + 1) * size] = np.minimum(8 * np.log2(1 + part), 255).astype(np.uint8)
-    return levels
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """A frame for each group of rows that come sorted by keys."""
+    held: list[pd.DataFrame] = []
+    name = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        named = list(zip(*(batch[k].tolist() for k in keys), strict=True))
+        cuts = [0, *(i for i in range(1, len(named)) if named[i] != named[i - 1]), len(named)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and named[a] != name:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held = []
+            name = named[a]
+            held.append(batch.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -221,167 +235,150 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
 
 
 def _near_duplicates(docs: DataFrame, words: int, num: int, den: int, text: str, key: str) -> DataFrame:
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     scan = _scan(docs, text, key)
     kind = docs.schema[key].dataType.simpleString()
+    read = spool(_read(scan, words, num, den))
+    posted = _posted(read)
+    sets = _wanted_sets(scan, read, posted, words)
+    pairs = _led(posted)
+    links = spool(_star(pairs, sets, num, den))
+    group = spool(components(links))
+    more = _rest(posted, group, sets, num, den)
+    if not more.isEmpty():
+        group = spool(components(links.unionByName(more)))
+
+    nodes = read.filter("n > 0").groupBy("node").agg(F.min(F.col("id").cast(kind)).alias("least"), F.min("h").alias("h"))
+    nodes = spool(nodes.join(group.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h")).select("node", "least", "component"))
+    named = spool(nodes.groupBy("component").agg(F.min("least").alias("component_id")))
+    nodes = spool(nodes.join(named, "component").select("node", "component", "component_id"))
+    out = read.select(F.col("id").cast(kind).alias("id"), "mark", "n", "node").join(nodes, "node", "left")
+    return out.select("id", "mark", "n", "node", "component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        counters, waiting, held = np.zeros(COUNTERS, dtype=np.int64), [], 0
+def _read(scan: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """A row for each document: id, mark, row, n, node, h (the first half of node), and, once for each set that a task meets, the classes that it posts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
-            sizes, nodes = [], []
-            for t in batch["t"]:
+            at, rows, held = 0, [], 0
+            for i, t in enumerate(batch["t"]):
                 found = shingle_set(t, words)
-                sizes.append(len(found))
-                nodes.append(_node(found) if len(found) else None)
-                waiting.append((found & np.uint64(COUNTERS - 1)).astype(np.int32))
-                held += len(found)
-                if held > 1_000_000:
-                    counters += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-                    waiting, held = [], 0
-            yield pd.DataFrame({"id": batch["id"].array, "mark": batch["mark"], "n": sizes, "node": nodes, "part": -1, "blob": None})
-        if waiting:
-            counters += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-        at, size = TaskContext.get().partitionId(), COUNTERS // PARTS
-        for p in range(PARTS):
-            yield pd.DataFrame({"id": [None], "mark": [at], "n": [0], "node": [None], "part": [p], "blob": [zlib.compress(counters[p * size : (p + 1) * size].tobytes(), 1)]})
-
-    read = spool(scan.mapInPandas(first, "id string, mark long, n long, node binary, part int, blob binary"))
-    rows = read.filter("part < 0").select(F.col("id").cast(kind).alias("id"), "mark", "n", "node")
-    levels = spark.sparkContext.broadcast(_levels(read.filter("part >= 0").select(F.col("mark").alias("id"), "part", "blob")))
-
-    listed = _sets(scan, lambda s, node: [(int(k), _short(node)) for k in prefix(s, levels.value, num, den).view(np.int64)], "key long, h long", words)
-    shared = spool(listed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"))
-    filled = spark.sparkContext.broadcast(slot_bitmap(shared, "key"))
-
-    def hits(s: np.ndarray, node: bytes) -> list[tuple]:
-        keys = prefix(s, levels.value, num, den)
-        return [(int(k), _short(node), node, len(s)) for k in keys[in_bitmap(filled.value, keys)].view(np.int64)]
-
-    posted = _sets(scan, hits, "key long, h long, node binary, n long", words).join(shared, "key", "left_semi")
-    # A list holds sets of like sizes: its own band and the one below, since sizes of sets that link lie in one or two neighbouring bands.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * 1.0001)).cast("int")
-    posted = spool(posted.groupBy("key", "h", "node", "n").agg(F.lit(1).alias("one")).drop("one"))
-    banded = posted.withColumn("band", F.explode(F.array(band, band + 1)))
-    lists = banded.groupBy("key", "band").agg(
-        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("h", "node")).alias("y"), F.min(F.struct("node", "n")).alias("first"), F.max("n").alias("most")
-    ).filter("m > 1")
-    lists = lists.groupBy("m", "x", "y").agg(F.min(F.struct("key", "band", "first", "most")).alias("l"))
-    lists = spool(lists.select("m", "l.key", "l.band", F.col("l.first.node").alias("leader"), F.col("l.first.n").alias("leader_n"), F.col("l.most").alias("most")))
-    posted = spool(banded.join(lists, ["key", "band"]))
-
-    # Sets of nodes that meet another somewhere, with profiles; written where they are computed, read only as far as needed.
-    wanted = spark.sparkContext.broadcast(slot_bitmap(posted.select("h").distinct(), "h"))
-    full = spool(_sets(scan, lambda s, node: [(_short(node), node, profile(s), s.view(np.int64))] if in_bitmap(wanted.value, np.array([_short(node)]))[0] else [], "h long, node binary, profile binary, s array<long>", words))
-    profiles = spool(full.select("node", "profile").dropDuplicates(["node"]))
-
-    def sets_of(named: DataFrame) -> DataFrame:
-        held = spark.sparkContext.broadcast(slot_bitmap(named.select(F.expr(_SHORT.format("node")).alias("h")).distinct(), "h"))
-
-        @F.pandas_udf("boolean")
-        def there(h: pd.Series) -> pd.Series:
-            return pd.Series(in_bitmap(held.value, h.to_numpy(np.int64)))
-
-        return spool(full.filter(there("h")).select("node", "s").dropDuplicates(["node"]))
-
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series(may_link(_profiles(a), _profiles(b), n.to_numpy(np.int64), m.to_numpy(np.int64), num, den))
-
-    pairs = posted.filter((F.col("node") != F.col("leader")) & (F.least("n", "leader_n") * den >= F.greatest("n", "leader_n") * num)).select("leader", "node", "n", "leader_n").distinct()
-    pairs = pairs.join(profiles, "node").withColumnRenamed("profile", "a").join(profiles.select(F.col("node").alias("leader"), F.col("profile").alias("b")), "leader")
-    pairs = spool(pairs.filter(close("a", "b", "n", "leader_n")).select("leader", "node"))
-    sets = sets_of(pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))))
-    met = pairs.join(sets, "node").withColumnRenamed("s", "a").join(sets.select(F.col("node").alias("leader"), F.col("s").alias("b")), "leader")
-    both = F.size(F.array_intersect("a", "b"))
-    links = spool(met.filter(both * den >= (F.size("a") + F.size("b") - both) * num).select(F.col("node").alias("u"), F.col("leader").alias("v")))
-    group = spool(components(links))
+                node = _node(found) if len(found) else None
+                posts = None
+                if node and node not in seen:
+                    seen.add(node)
+                    posts = classes(found, num, den)
+                    held += len(posts)
+                rows.append((len(found), node, _short(node) if node else 0, posts))
+                if held > _POSTED or i + 1 == len(batch):
+                    out = pd.DataFrame(rows, columns=["n", "node", "h", "posts"])
+                    for c in ("row", "mark", "id"):
+                        out.insert(0, c, batch[c].iloc[at : i + 1].array)
+                    yield out
+                    at, rows, held = i + 1, [], 0
 
-    # What the leaders left open.
-    open_ = posted.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = open_.groupBy("key", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("m").alias("here"), F.first("most").alias("most")).filter("a <> b")
-    split = spool(split.select("key", "band", F.ceil(F.col("here") / F.lit(MEMBERS)).cast("int").alias("blocks"), F.ceil(F.col("here") * F.col("most") / F.lit(SEARCHED)).cast("int").alias("parts")))
-    dealt = _in_blocks(open_.select("key", "band", "node", "n", "component").join(split, ["key", "band"]), "blocks").join(profiles, "node")
-
-    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Members that may link with one of another component, of rows that are sorted by list and block pair."""
-        for g in _whole_groups(batches, keys):
-            keep = _members(*(g[c].to_numpy() for c in ("_group", "n", "component", "profile")), num, den)
-            if keep.any():
-                yield g.loc[keep, ["key", "band", "node", "component", "parts"]]
-
-    keys = ["key", "band", "lo", "hi"]
-    left = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(sift, "key long, band int, node binary, component binary, parts int")
-    left = spool(left.groupBy("key", "band", "node", "component").agg(F.max("parts").alias("parts")))
-    same = left.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")).groupBy("m", "x", "y").agg(F.min(F.struct("key", "band")).alias("l"))
-    kept = spool(left.join(same.select("l.key", "l.band"), ["key", "band"], "left_semi"))
-    searched = _in_blocks(kept, "parts").join(sets_of(kept), "node")
-
-    def look(g: pd.DataFrame) -> pd.DataFrame:
-        found = search([x.tolist() for x in g["s"]], g["node"].tolist(), g["component"].tolist(), num, den)
-        return pd.DataFrame({"u": [a for a, _ in found], "v": [b for _, b in found]}, dtype=object)
-
-    more = searched.groupBy("key", "band", "lo", "hi").applyInPandas(look, "u binary, v binary")
-    group = components(links.unionByName(spool(more)))
-
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    nodes = nodes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = spool(nodes.join(named, "component").select("node", "component", "component_id"))
-    out = rows.join(nodes, "node", "left")
-    return out.select("id", "mark", "n", "node", "component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return scan.mapInPandas(run, "id string, mark long, row long, n long, node binary, h long, posts array<long>")
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of whole groups, numbered in _group, of rows that come sorted by keys: there are far too many small groups to handle each alone."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        if held and (batch[keys].iloc[-1] == held[0][keys].iloc[0]).all():  # still the group that is held
-            held.append(batch)
-            continue
-        g = pd.concat([*held, batch], ignore_index=True) if held else batch.reset_index(drop=True)
-        fresh = (g[keys] != g[keys].shift()).any(axis=1).to_numpy()
-        last = int(np.flatnonzero(fresh)[-1])
-        held = [g.iloc[last:]]
-        if last:
-            yield g.iloc[:last].assign(_group=np.cumsum(fresh[:last]))
-    if held:
-        yield pd.concat(held, ignore_index=True).assign(_group=0)
+def _posted(read: DataFrame) -> DataFrame:
+    """class, h: the distinct entries of lists with two nodes or more."""
+    every = read.filter("size(posts) > 0").select("h", F.explode("posts").alias("class"))
+    shared = spool(every.groupBy("class").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("class"))
+    return spool(spool(every.join(shared, "class")).distinct())
 
 
-def _members(group: np.ndarray, n: np.ndarray, component: np.ndarray, profile_: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which rows may link with a row of the same group and another component. Rows are compared at a distance of one, two, and so on."""
-    n, keep = n.astype(np.int64), np.zeros(len(n), dtype=bool)
-    code, p = pd.factorize(component)[0], _profiles(profile_)
-    here = np.arange(len(n))
-    away = 1
-    while len(here := here[(here + away < len(n))]) and len(here := here[group[here] == group[here + away]]):
-        there = here + away
-        fits = (code[here] != code[there]) & (np.minimum(n[here], n[there]) * den >= np.maximum(n[here], n[there]) * num) & ~(keep[here] & keep[there])
-        for part in np.array_split(np.flatnonzero(fits), len(here) // 4096 + 1):
-            i, j = here[part], there[part]
-            near = may_link(p[i], p[j], n[i], n[j], num, den)
-            keep[i[near]] = keep[j[near]] = True
-        away += 1
-    return keep
+def _wanted_sets(scan: DataFrame, read: DataFrame, posted: DataFrame, words: int) -> DataFrame:
+    """h, s: the sets of the nodes on lists, computed again from one document each."""
+    wanted = spool(posted.select("h").distinct())
+    one = spool(read.filter("size(posts) > 0").select("h", "row").join(wanted, "h").groupBy("h").agg(F.min("row").alias("row")))
+    held = scan.sparkSession.sparkContext.broadcast(slot_bitmap(one, "row"))
 
+    @F.pandas_udf("boolean")
+    def maybe(row: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(held.value, row.to_numpy(np.int64)))
 
-def _in_blocks(members: DataFrame, blocks: str) -> DataFrame:
-    """Members of a list dealt to pairs of its blocks, lo and hi: any two meet in one."""
-    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
-    return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("own", "other", "blocks")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for batch in batches:
+            rows = []
+            for t in batch["t"]:
+                found = shingle_set(t, words)
+                if len(found) and (h := _short(_node(found))) not in seen:
+                    seen.add(h)
+                    rows.append((h, found.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["h", "s"])
+
+    # The bitmap spares the other texts; the join decides.
+    return spool(scan.filter(maybe("row")).select("t").mapInPandas(run, "h long, s array<long>").join(wanted, "h").dropDuplicates(["h"]))
+
+
+def _led(posted: DataFrame) -> DataFrame:
+    """leader, h: each list's nodes with that node of it which shares the most classes."""
+    degree = spool(posted.groupBy("h").agg(F.count(F.lit(1)).alias("degree")))
+    leaders = spool(posted.join(degree, "h").groupBy("class").agg(F.max(F.struct("degree", "h")).alias("l")).select("class", F.col("l.h").alias("leader")))
+    return spool(posted.join(leaders, "class").filter("h <> leader").select("leader", "h").distinct())
+
+
+def _star(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links u, v between leaders and their followers."""
+    parts = spool(pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(FOLLOWERS)).cast("int").alias("parts")))
+    dealt = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "h")
+    asked = dealt.join(sets, "h").withColumn("follows", F.lit(True))
+    asking = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("h"), F.lit(False).alias("follows")).join(sets, "h")
+    keys = ["leader", "part"]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
+        for g in _groups(batches, keys):
+            first, rest = g["s"].iloc[0], g.iloc[1:]  # the leader's own row sorts first
+            names = rest["h"].tolist()
+            found += [(names[i], int(g["leader"].iloc[0])) for i in followers(_set(first), [_set(x) for x in rest["s"]], num, den)]
+        yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    met = asked.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "follows", "h")
+    return met.select("leader", "part", "h", "s").mapInPandas(look, "u long, v long")
+
+
+def _set(values) -> np.ndarray:
+    return np.asarray(values, dtype=np.int64).view(np.uint64)
+
+
+def _rest(posted: DataFrame, group: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that the leaders left open: between nodes of lists that hold more than one component."""
+    placed = spool(posted.join(group.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h")))
+    split = spool(placed.groupBy("class").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("class", "a"))
+    open_ = spool(placed.join(split, "class").select("h", "component", "a").distinct())
+    # Components that share a list are searched together, once, however many lists they share.
+    bunch = components(open_.select(F.col("component").alias("u"), F.col("a").alias("v")))
+    bunch = spool(bunch.select(F.col("component").alias("bunch"), F.col("node").alias("component")))
+    open_ = open_.select("h", "component").distinct()
+    members = spool(open_.join(bunch, "component").join(sets.select("h", F.size("s").alias("n")), "h"))
+    by = members.groupBy("bunch", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    sizes = spool(by.groupBy("bunch").agg(F.max(F.struct("c", "component")).alias("main"), F.ceil(F.sum("n") / F.lit(SEARCHED)).cast("int").alias("parts")).select("bunch", F.col("main.component").alias("main"), "parts"))
+    dealt = members.join(sizes, "bunch").withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    # Outside the largest component a node is a guest in the blocks that aren't its own.
+    blocks = F.when(F.col("component") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = spool(dealt.select("bunch", "h", "component", "own", F.explode(blocks).alias("part")).withColumn("guest", F.col("part") != F.col("own")).drop("own"))
+    keys = ["bunch", "part"]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
+        for g in _groups(batches, keys):
+            found += search([list(x) for x in g["s"]], g["h"].tolist(), g["component"].tolist(), num, den, int(g["guest"].sum()))
+        yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    rows = dealt.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys, "guest", "h")
+    return spool(rows.select("bunch", "part", "h", "component", "guest", "s").mapInPandas(look, "u long, v long"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one document of each component: that with the smallest id, then the smallest hash of its text. Repeated rows are one document."""
     found = spool(near_duplicates(docs, words, num, den, text, key).select("id", "mark", "n", "component"))
-    best = found.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("best"))
+    best = spool(found.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("best")))
     lost = found.filter("n > 0").join(best, "component").filter(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))))
-    lost = lost.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("a"), "mark").distinct()
+    lost = spool(lost.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("a"), "mark").distinct())
     named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("a"), F.xxhash64(F.col(text)).alias("mark"))
     kept = named.join(lost, ["a", "mark"], "left_anti")
     if not found.groupBy("id", "mark").count().filter("count > 1").isEmpty():
@@ -394,4 +391,18 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+SQL = {
+    "op7_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 2, 1) + 1), lambda i: list_slice(words, i, i + 2))) AS shingle
+  FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 90 * (a.n + b.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.v FROM r JOIN l ON l.u = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)"""
+}
 QUERIES = {"op7_ngram_join": op7_ngram_join}

@@ -57,19 +57,47 @@ def test_search_finds_what_brute_force_finds():
         assert roots(N.search([sorted(s) for s in sets], names, names, num, den), len(sets)) == roots(linked(sets, num, den), len(sets))
         known = [x for x in linked(sets, num, den) if rng.random() < 0.5]
         got = N.search([sorted(s) for s in sets], names, roots(known, len(sets)), num, den)
+        guests = rng.randint(0, len(sets) - 1)
+        hosts = len(sets) - guests
+        met = [x for x in linked(sets, num, den) if min(x) < hosts]
+        assert roots(N.search([sorted(s) for s in sets], names, names, num, den, guests), len(sets)) == roots(met, len(sets))
         assert roots(known + got, len(sets)) == roots(linked(sets, num, den), len(sets))
 
 
-def test_profiles_never_exclude_a_link():
+def near(rng, a):
+    """A set that may link with a: some of its members are gone, some others came."""
+    import numpy as np
+
+    gone = rng.permutation(a)[int(len(a) * rng.uniform(0, 0.15)) :]
+    return np.unique(np.concatenate([gone, rng.integers(0, 2**63, rng.integers(0, len(a) // 8 + 2)).astype(np.uint64)]))
+
+
+def test_sets_that_link_share_a_class():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
-        b = np.unique(np.concatenate([rng.permutation(a)[: int(len(a) * rng.uniform(0.7, 1))], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        fits = N.may_link(N._profiles([N.profile(a)]), N._profiles([N.profile(b)]), np.array([len(a)]), np.array([len(b)]), 8, 10)[0]
-        assert fits or 10 * both < 8 * (len(a) + len(b) - both)
+    links = 0
+    for num, den in ((90, 100), (8, 10), (5, 10)):
+        for _ in range(1500):
+            a = np.unique(rng.integers(0, 2**63, rng.integers(1, 60) if rng.random() < 0.5 else rng.integers(1, 600)).astype(np.uint64))
+            b = near(rng, a)
+            both = len(np.intersect1d(a, b))
+            if len(a) and len(b) and not np.array_equal(a, b) and den * both >= num * (len(a) + len(b) - both):
+                links += 1
+                assert set(N.classes(a, num, den)) & set(N.classes(b, num, den))
+    assert links > 1000
+
+
+def test_followers_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        num, den = [(90, 100), (8, 10), (5, 10)][rng.integers(3)]
+        lead = np.unique(rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64))
+        sets = [near(rng, lead) if rng.random() < 0.7 else np.unique(rng.integers(0, 2**63, 50).astype(np.uint64)) for _ in range(rng.integers(1, 30))]
+        both = [len(np.intersect1d(lead, x)) for x in sets]
+        assert sorted(N.followers(lead, sets, num, den)) == [i for i, x in enumerate(sets) if den * both[i] >= num * (len(lead) + len(x) - both[i])]
 
 
 def test_sorted_rows_fall_into_whole_groups():
@@ -80,24 +108,9 @@ def test_sorted_rows_fall_into_whole_groups():
     for _ in range(50):
         rows = pd.DataFrame({"k": np.sort(rng.integers(0, 12, 60)), "j": 0, "v": range(60)})
         cuts = [0, *sorted(rng.integers(0, 61, 7)), 60]
-        parts = [rows.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        out = list(N._whole_groups(iter(parts), ["k", "j"]))
+        out = list(N._groups((rows.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), ["k", "j"]))
         assert pd.concat(out)["v"].tolist() == list(range(60))
-        assert sum(g.groupby("_group").ngroups for g in out) == rows["k"].nunique() and all((g.groupby("_group")["k"].nunique() == 1).all() for g in out)
-
-
-def test_members_against_all_pairs():
-    import numpy as np
-
-    rng = np.random.default_rng(4)
-    for _ in range(30):
-        sets = [np.unique(rng.integers(0, 2**63, rng.integers(5, 60)).astype(np.uint64)) for _ in range(4)]
-        sets = [rng.permutation(sets[rng.integers(4)])[: rng.integers(4, 60)] for _ in range(40)]
-        group, n, comp = np.sort(rng.integers(0, 9, 40)), np.array([len(s) for s in sets]), np.array([bytes([rng.integers(5)]) for _ in sets], dtype=object)
-        prof = np.array([N.profile(s) for s in sets], dtype=object)
-        p = N._profiles(prof)
-        want = [any(group[i] == group[j] and comp[i] != comp[j] and 10 * min(n[i], n[j]) >= 8 * max(n[i], n[j]) and N.may_link(p[[i]], p[[j]], n[[i]], n[[j]], 8, 10)[0] for j in range(40) if j != i) for i in range(40)]
-        assert N._members(group, n, comp, prof, 8, 10).tolist() == want
+        assert len(out) == rows["k"].nunique() and all(g["k"].nunique() == 1 for g in out)
 
 
 def test_components(spark):
@@ -109,11 +122,11 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("words, num, den, limits", [(3, 90, 100, None), (5, 8, 10, None), (2, 5, 10, (3, 40))])
+@pytest.mark.parametrize("words, num, den, limits", [(3, 90, 100, None), (5, 8, 10, None), (2, 5, 10, (2, 150))])
 def test_against_brute_force(spark, monkeypatch, words, num, den, limits):
     """Groups of copies, of near copies around a text that isn't the first, and chains; with limits, lists fall into blocks."""
     if limits:
-        monkeypatch.setattr(N, "MEMBERS", limits[0])
+        monkeypatch.setattr(N, "FOLLOWERS", limits[0])
         monkeypatch.setattr(N, "SEARCHED", limits[1])
     rng = random.Random(words)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -137,6 +150,16 @@ def test_against_brute_force(spark, monkeypatch, words, num, den, limits):
     assert {r["id"]: (r["n"], r["component_id"]) for r in got.collect()} == {ids[i]: (len(sets[i]), least[root[i]]) for i in range(len(ids))}
 
 
+def test_every_link_comes_through_divide_skip(spark, monkeypatch):
+    """Without the search only equal sets share a component."""
+    docs = spark.createDataFrame([(i, " ".join([f"w{k}" for k in range(60)] + [f"own{i}"] * (i % 3))) for i in range(9)], "doc_id long, text string")
+    assert {r["component_id"] for r in N.near_duplicates(docs).collect()} == {0}
+    sets = [shingle_set(r["text"], 5) for r in docs.limit(3).collect()]
+    assert N.followers(sets[0], sets[1:], 8, 10) == [0, 1]
+    monkeypatch.setattr(N, "divide_skip", lambda lists, need, accept: None)
+    assert N.followers(sets[0], sets[1:], 8, 10) == [] and N.search([s.tolist() for s in sets], [0, 1, 2], [0, 1, 2], 8, 10) == []
+
+
 def test_odd_rows(spark, odd):
     assert N.near_duplicates(odd).count() == odd.count() and N.near_duplicates(odd.limit(0)).count() == 0
     kept = N.keep_one(odd)
