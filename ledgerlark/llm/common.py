@@ -7,10 +7,15 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _SPOOLS: set[str] = set()
 
@@ -75,6 +80,27 @@ def _clean() -> None:
         return
 
 
+def sorted_groups(batches: Iterator["pd.DataFrame"], keys: list[str]) -> Iterator["pd.DataFrame"]:
+    """A frame for each group of rows that come sorted by keys."""
+    import pandas as pd
+
+    held: list["pd.DataFrame"] = []
+    name = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        named = list(zip(*(batch[k].tolist() for k in keys), strict=True))
+        cuts = [0, *(i for i in range(1, len(named)) if named[i] != named[i - 1]), len(named)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and named[a] != name:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held = []
+            name = named[a]
+            held.append(batch.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
 def named(rows: DataFrame, key: str, value: str) -> DataFrame:
     """k, the key as a string, and t, the value, for Python: pandas has no long column with nulls."""
     return rows.select(F.col(key).cast("string").alias("k"), F.col(value).alias("t"))

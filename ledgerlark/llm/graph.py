@@ -11,23 +11,20 @@ from pyspark.sql import functions as F
 from .common import spool
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).collect()[0])
+def _stars(e: DataFrame) -> bool:
+    """Whether every vertex has one parent at most and no parent has one."""
+    ends = e.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node that can be reached) for every node of the links (u, v). No links: no rows."""
     e = spool(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(e)
-    while before[0]:  # a vertex's least neighbour, then stars of what is larger, then of what is smaller
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = spool(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = spool(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = spool(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = spool(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = _state(e)
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

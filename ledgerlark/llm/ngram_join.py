@@ -27,7 +27,6 @@ import hashlib
 import heapq
 import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,12 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, prepare, slot_bitmap, small_batches, spool, table
+from .common import in_bitmap, prepare, slot_bitmap, small_batches, sorted_groups, spool, table
 from .graph import components
 from .shingles import mix, shingle_set
 
-#: Followers that a leader asks at once; shingles that one task of the last search holds.
-FOLLOWERS, SEARCHED = 1_000, 2_000_000
+#: Followers that a leader asks at once; shingles, and nodes, that a block of the last search holds.
+FOLLOWERS, SEARCHED, MEMBERS = 1_000, 1_000_000, 1_000
+#: Sets from which on their inverted lists are merged and probed as arrays.
+ARRAYS = 48
 #: DivideSkip's weight of a long list's length in choosing how many lists are long.
 MU = 0.0085
 _LONGEST = 1 << 31
@@ -132,74 +133,93 @@ def divide_skip(lists: list[list[int]], need: int, accept) -> None:
                     heapq.heappush(heads, (short[k][i], k, i))
 
 
-def followers(leader: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """Which of the sets link with the leader, by their places: the leader's shingles ask the inverted lists of the sets."""
-    if not len(leader) or not sets:
-        return []
-    sizes = [len(x) for x in sets]
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    at = np.minimum(np.searchsorted(leader, every), len(leader) - 1)
-    held = leader[at] == every
-    at, owner = at[held], owner[held]
-    order = np.argsort(at, kind="stable")  # owners stay in order inside a list
-    at, owner = at[order], owner[order].tolist()
-    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(owner)] if len(owner) else [0]
-    lists = [owner[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    out = []
+def divide_skip_arrays(lists: list[np.ndarray], need: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of long lists, as arrays: ids, of those wanted (a mask by id), that are on at least `need` lists, and the numbers of lists.
 
-    def accept(i: int, count: int | None) -> bool:
-        if count is not None and count >= overlap(len(leader), sizes[i], num, den):
-            out.append(i)
-        return True
+    The short lists' runs are merged by a stable sort instead of a heap, and the long ones are probed for all ids at once.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    if len(lists) < need or need < 1:
+        return none, none
+    lists = sorted(lists, key=len)
+    many = min(need - 1, len(lists) - 1, int(need / (MU * math.log2(len(lists[-1]) + 1) + 1)))
+    short, long_ = lists[: len(lists) - many], lists[len(lists) - many :]
+    ids = np.sort(np.concatenate(short), kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    ids, counts = ids[first], np.diff(np.append(first, len(ids)))
+    keep = wanted[ids] & (counts >= need - many)
+    ids, counts = ids[keep], counts[keep]
+    for left, x in enumerate(long_):
+        keep = counts >= need - (len(long_) - left)
+        if not keep.all():
+            ids, counts = ids[keep], counts[keep]
+        if not len(ids):
+            break
+        at = np.searchsorted(x, ids)
+        counts = counts + (x[np.minimum(at, len(x) - 1)] == ids)
+    keep = counts >= need
+    return ids[keep], counts[keep]
+
+
+class Index:
+    """Inverted lists of sets: for each shingle the places of the sets that hold it, in order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
+        self.keys, self.cuts = every[first], np.append(first, len(every))
+        self.arrays = len(sets) > ARRAYS
+        self.owner = owner if self.arrays else owner.tolist()
+
+    def ask(self, own: np.ndarray, num: int, den: int, wanted: np.ndarray) -> list[int]:
+        """Places of the sets, of those wanted, that link with a set."""
+        fits = wanted & (np.minimum(self.sizes, len(own)) * den >= np.maximum(self.sizes, len(own)) * num)
+        if not len(own) or not fits.any():
+            return []
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        at = at[self.keys[at] == own]
+        lists = [self.owner[a:b] for a, b in zip(self.cuts[at].tolist(), self.cuts[at + 1].tolist(), strict=True)]
+        need = overlap(len(own), int(self.sizes[fits].min()), num, den)
+        if self.arrays:
+            ids, counts = divide_skip_arrays(lists, need, fits)
+            return ids[counts * (num + den) >= num * (len(own) + self.sizes[ids])].tolist()
+        out = []
+
+        def accept(i: int, count: int | None) -> bool:
+            if count is not None and count >= overlap(len(own), int(self.sizes[i]), num, den):
+                out.append(i)
+            return bool(fits[i])
+
+        divide_skip(lists, need, accept)
+        return out
 
-    least = max(min(sizes), -(-num * len(leader) // den))  # smaller sets can't link
-    divide_skip(lists, overlap(len(leader), least, num, den), accept)
-    return out
+
+def followers(leader: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
+    """Which of the sets link with the leader, by their places."""
+    return Index(sets).ask(leader, num, den, np.ones(len(sets), dtype=bool))
 
 
-def search(sets: list[list[int]], names: list, groups: list, num: int, den: int, guests: int = 0) -> list[tuple]:
+def search(sets: list[np.ndarray], names: list, groups: list, num: int, den: int, guests: int = 0) -> list[tuple]:
     """Links between nodes that groups don't already hold together; links within what they join are left out.
 
-    Members of the largest group have an index of their own, which they don't ask themselves: a list is often one group and a
-    few others. The last `guests` sets ask the others, but not one another.
+    Members of the largest group are asked, but don't ask. The last `guests` sets ask the others, but not one another.
     """
-    parent: dict = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
+    code = pd.factorize(np.array(groups, dtype=object))[0]
     hosts = len(sets) - guests
-    order = sorted(range(hosts), key=lambda i: len(sets[i])) + list(range(hosts, len(sets)))
-    largest = Counter(groups[:hosts]).most_common(1)[0][0] if hosts else None
-    main: dict[int, list[int]] = {}
-    rest: dict[int, list[int]] = {}
-    roots = set(groups)
-    out = []
-    for place, i in enumerate(order):
-        own = sets[i]
-
-        def accept(at: int, count: int | None, i=i, own=own) -> bool:
-            other = order[at]
-            if count is None:
-                return min(len(sets[other]), len(own)) * den >= num * max(len(sets[other]), len(own)) and root(groups[other]) != root(groups[i])
-            if count >= overlap(len(own), len(sets[other]), num, den) and root(groups[other]) != root(groups[i]):
-                roots.discard(root(groups[i]))
-                parent[root(groups[i])] = root(groups[other])
+    if not hosts:
+        return []
+    largest = np.bincount(code[:hosts]).argmax()
+    index, out = Index(sets[:hosts]), []
+    for i in np.flatnonzero(code != largest).tolist():
+        wanted = code[:hosts] != code[i]
+        for other in index.ask(sets[i], num, den, wanted):
+            if code[other] != code[i]:
+                code[code == code[i]] = code[other]
                 out.append((names[i], names[other]))
-            return True
-
-        need = -(-num * len(own) // den)
-        for index in (rest,) if groups[i] == largest else (rest, main):
-            if len(roots) > 1 and index:
-                divide_skip([x for e in own if (x := index.get(e)) is not None], need, accept)
-        if place < hosts:
-            index = main if groups[i] == largest else rest
-            for e in own:
-                index.setdefault(e, []).append(place)
     return out
 
 
@@ -209,25 +229,6 @@ def _scan(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(own.alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.xxhash64(own, F.col(text)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """A frame for each group of rows that come sorted by keys."""
-    held: list[pd.DataFrame] = []
-    name = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        named = list(zip(*(batch[k].tolist() for k in keys), strict=True))
-        cuts = [0, *(i for i in range(1, len(named)) if named[i] != named[i - 1]), len(named)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and named[a] != name:
-                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-                held = []
-            name = named[a]
-            held.append(batch.iloc[a:b])
-    if held:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each document: id, mark (a hash of the text), n (size of its set), node, component (a node; null: no link), component_id."""
     with small_batches(docs.sparkSession):
@@ -331,7 +332,7 @@ def _star(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
-        for g in _groups(batches, keys):
+        for g in sorted_groups(batches, keys):
             first, rest = g["s"].iloc[0], g.iloc[1:]  # the leader's own row sorts first
             names = rest["h"].tolist()
             found += [(names[i], int(g["leader"].iloc[0])) for i in followers(_set(first), [_set(x) for x in rest["s"]], num, den)]
@@ -356,7 +357,7 @@ def _rest(posted: DataFrame, group: DataFrame, sets: DataFrame, num: int, den: i
     open_ = open_.select("h", "component").distinct()
     members = spool(open_.join(bunch, "component").join(sets.select("h", F.size("s").alias("n")), "h"))
     by = members.groupBy("bunch", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-    sizes = spool(by.groupBy("bunch").agg(F.max(F.struct("c", "component")).alias("main"), F.ceil(F.sum("n") / F.lit(SEARCHED)).cast("int").alias("parts")).select("bunch", F.col("main.component").alias("main"), "parts"))
+    sizes = spool(by.groupBy("bunch").agg(F.max(F.struct("c", "component")).alias("main"), F.ceil(F.greatest(F.sum("n") / F.lit(SEARCHED), F.sum("c") / F.lit(MEMBERS))).cast("int").alias("parts")).select("bunch", F.col("main.component").alias("main"), "parts"))
     dealt = members.join(sizes, "bunch").withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     # Outside the largest component a node is a guest in the blocks that aren't its own.
     blocks = F.when(F.col("component") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -365,8 +366,8 @@ def _rest(posted: DataFrame, group: DataFrame, sets: DataFrame, num: int, den: i
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
-        for g in _groups(batches, keys):
-            found += search([list(x) for x in g["s"]], g["h"].tolist(), g["component"].tolist(), num, den, int(g["guest"].sum()))
+        for g in sorted_groups(batches, keys):
+            found += search([_set(x) for x in g["s"]], g["h"].tolist(), g["component"].tolist(), num, den, int(g["guest"].sum()))
         yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     rows = dealt.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys, "guest", "h")

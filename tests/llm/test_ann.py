@@ -49,3 +49,33 @@ def test_a_hot_vector(spark):
 
 def test_nothing(spark):
     assert ann.nearest(made(spark, []), "vec_id % 20 = 0").count() == 0
+
+
+def test_the_index_proper(spark, monkeypatch):
+    """Many cells: vectors of few inner dimensions, every fiftieth against all, and few rows compared."""
+    rng = np.random.default_rng(5)
+    n = 40_000
+    x = rng.standard_normal((n, 4)) @ rng.standard_normal((4, 32)) + 0.05 * rng.standard_normal((n, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    reaches = []
+    whole = ann._reach
+    monkeypatch.setattr(ann, "_reach", lambda *a: reaches.append(whole(*a)) or reaches[-1])
+    got = ann.nearest(made(spark, x.tolist()), "vec_id % 50 = 0").toPandas()
+    y, found = x.astype(float), 0
+    for q, rows in got.groupby("query_id"):
+        s = y @ y[q]
+        s[q] = -np.inf
+        assert np.allclose(rows["score"], s[rows["vec_id"]], atol=1e-12) and rows["vec_id"].is_unique and len(rows) == 20
+        found += (rows["score"] >= np.sort(s)[-20] - 1e-12).sum()
+    assert found >= 0.9 * 20 * (n // 50)
+    assert ann.CURVES * (2 * reaches[0] + 1) * ann.CELL < n / 4
+
+
+def test_repeated_ids_and_products_that_overflow(spark):
+    x = np.random.default_rng(2).standard_normal((50, 3)) * 1e200
+    got = ann.nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), "vec_id % 20 = 0").toPandas()
+    assert len(got) == 60 and not got["score"].isna().any() and (got.sort_values(["query_id", "rank"]).groupby("query_id")["score"].diff().fillna(0).replace(np.nan, 0) <= 0).all()
+    rows = [(i % 30, v) for i, v in enumerate(np.random.default_rng(3).standard_normal((600, 3)).tolist())]
+    clashing = spark.createDataFrame([(*r, 1, "x", None) for r in rows], "vec_id long, embedding array<double>, id int, curve string, cell int")
+    got = ann.nearest(clashing, "vec_id % 20 = 0").toPandas()
+    assert set(got["query_id"]) == {0, 20} and all(len(g) == 20 and g["vec_id"].is_unique and q not in set(g["vec_id"]) for q, g in got.groupby("query_id"))

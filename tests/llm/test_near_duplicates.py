@@ -5,6 +5,7 @@ import re
 import pytest
 
 from ledgerlark.llm import ngram_join as N
+from ledgerlark.llm.common import sorted_groups
 from ledgerlark.llm.graph import components
 from ledgerlark.llm.shingles import shingle_set, word_hashes
 
@@ -27,6 +28,12 @@ def roots(links, n):
     return [root(i) for i in range(n)]
 
 
+def arrayed(sets):
+    import numpy as np
+
+    return [np.array(sorted(s), dtype=np.uint64) for s in sets]
+
+
 def linked(sets, num, den):
     return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
 
@@ -42,7 +49,10 @@ def test_shingles_against_plain_sets():
     assert len(word_hashes("a" * 400_000 + " b c " + "d" * 300_000)) == 4
 
 
-def test_search_finds_what_brute_force_finds():
+@pytest.mark.parametrize("arrays", [0, 1000])
+def test_search_finds_what_brute_force_finds(monkeypatch, arrays):
+    """By lists and a heap, and by arrays."""
+    monkeypatch.setattr(N, "ARRAYS", arrays)
     rng = random.Random(6)
     for _ in range(300):
         base = [rng.sample(range(200), rng.randint(1, 40)) for _ in range(3)]
@@ -54,13 +64,13 @@ def test_search_finds_what_brute_force_finds():
             sets.append(s)
         num, den = rng.choice([(90, 100), (8, 10), (5, 10)])
         names = list(range(len(sets)))
-        assert roots(N.search([sorted(s) for s in sets], names, names, num, den), len(sets)) == roots(linked(sets, num, den), len(sets))
+        assert roots(N.search(arrayed(sets), names, names, num, den), len(sets)) == roots(linked(sets, num, den), len(sets))
         known = [x for x in linked(sets, num, den) if rng.random() < 0.5]
-        got = N.search([sorted(s) for s in sets], names, roots(known, len(sets)), num, den)
+        got = N.search(arrayed(sets), names, roots(known, len(sets)), num, den)
         guests = rng.randint(0, len(sets) - 1)
         hosts = len(sets) - guests
         met = [x for x in linked(sets, num, den) if min(x) < hosts]
-        assert roots(N.search([sorted(s) for s in sets], names, names, num, den, guests), len(sets)) == roots(met, len(sets))
+        assert roots(N.search(arrayed(sets), names, names, num, den, guests), len(sets)) == roots(met, len(sets))
         assert roots(known + got, len(sets)) == roots(linked(sets, num, den), len(sets))
 
 
@@ -88,9 +98,11 @@ def test_sets_that_link_share_a_class():
     assert links > 1000
 
 
-def test_followers_against_all_pairs():
+@pytest.mark.parametrize("arrays", [0, 1000])
+def test_followers_against_all_pairs(monkeypatch, arrays):
     import numpy as np
 
+    monkeypatch.setattr(N, "ARRAYS", arrays)
     rng = np.random.default_rng(2)
     for _ in range(200):
         num, den = [(90, 100), (8, 10), (5, 10)][rng.integers(3)]
@@ -108,7 +120,7 @@ def test_sorted_rows_fall_into_whole_groups():
     for _ in range(50):
         rows = pd.DataFrame({"k": np.sort(rng.integers(0, 12, 60)), "j": 0, "v": range(60)})
         cuts = [0, *sorted(rng.integers(0, 61, 7)), 60]
-        out = list(N._groups((rows.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), ["k", "j"]))
+        out = list(sorted_groups((rows.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), ["k", "j"]))
         assert pd.concat(out)["v"].tolist() == list(range(60))
         assert len(out) == rows["k"].nunique() and all(g["k"].nunique() == 1 for g in out)
 
@@ -128,6 +140,7 @@ def test_against_brute_force(spark, monkeypatch, words, num, den, limits):
     if limits:
         monkeypatch.setattr(N, "FOLLOWERS", limits[0])
         monkeypatch.setattr(N, "SEARCHED", limits[1])
+        monkeypatch.setattr(N, "MEMBERS", 4)
     rng = random.Random(words)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = rng.choices(vocabulary, k=12)
@@ -157,7 +170,7 @@ def test_every_link_comes_through_divide_skip(spark, monkeypatch):
     sets = [shingle_set(r["text"], 5) for r in docs.limit(3).collect()]
     assert N.followers(sets[0], sets[1:], 8, 10) == [0, 1]
     monkeypatch.setattr(N, "divide_skip", lambda lists, need, accept: None)
-    assert N.followers(sets[0], sets[1:], 8, 10) == [] and N.search([s.tolist() for s in sets], [0, 1, 2], [0, 1, 2], 8, 10) == []
+    assert N.followers(sets[0], sets[1:], 8, 10) == [] and N.search(sets, [0, 1, 2], [0, 1, 2], 8, 10) == []
 
 
 def test_odd_rows(spark, odd):
