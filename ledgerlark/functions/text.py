@@ -15,29 +15,33 @@ REPLY = (
 )
 
 
+#: What counts as blank at a line's ends, and what ends a line: Unicode's blanks and the four separators of ASCII.
+_BLANK = r"[\s\x1c-\x1f]"
+_LINE_END = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
+
+
 def clean_whitespace(text: Column | str) -> Column:
     """Lines stripped and split at two blanks; the parts that aren't empty, stripped, with one blank between."""
-    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    lines = F.transform(F.split(col(text), r"\R"), strip)
+    strip = lambda x: F.regexp_replace(x, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    lines = F.transform(F.split(col(text), _LINE_END), strip)
     chunks = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, "  "), strip)))
     return F.array_join(F.filter(chunks, lambda x: x != ""), " ")
 
 
 def unfenced(reply: Column | str) -> Column:
-    """What stands in the first json fence, else in the first fence; else the whole reply."""
+    """What stands in the first json fence, else in the first fence; else the whole reply. A fence that isn't closed ends before the last character."""
     r = col(reply)
-    named = F.regexp_extract(r, r"(?s)```json(.*?)```", 1)
-    plain = F.regexp_extract(r, r"(?s)```(.*?)```", 1)
+    named = F.regexp_extract(r, r"(?s)```json(.*?)(?:```|.\z)", 1)
+    plain = F.regexp_extract(r, r"(?s)```(.*?)(?:```|.\z)", 1)
     return F.trim(F.when(F.contains(r, F.lit("```json")), named).when(F.contains(r, F.lit("```")), plain).otherwise(r))
 
 
 def parsed_reply(reply: Column | str) -> Column:
     """The reply's fields; summary_complete tells whether it was JSON, and all fields are NULL if it wasn't. A text
     where a list belongs is NULL, and the other fields stay."""
-    got = F.from_json(unfenced(reply), REPLY, {"mode": "PERMISSIVE"})
-    ok = F.coalesce(F.try_parse_json(unfenced(reply)).isNotNull(), F.lit(False))
-    names = [x.split()[0] for x in REPLY.split(", ")]
-    return F.struct(*[F.when(ok, got[n]).alias(n) for n in names], ok.alias("summary_complete"))
+    got = F.try_parse_json(unfenced(reply))  # one expression, so it is computed once for all fields
+    fields = [x.split(" ", 1) for x in REPLY.split(", ")]
+    return F.struct(*[F.try_variant_get(got, f"$.{n}", kind).alias(n) for n, kind in fields], got.isNotNull().alias("summary_complete"))
 
 
 def links(text: Column | str, entities: Column | str | None = None, caption: Column | str | None = None) -> Column:

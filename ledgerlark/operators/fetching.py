@@ -29,6 +29,18 @@ def fetched(names: DataFrame, column: str, fetch: Callable[[str], str], at_once:
     return got.withColumnRenamed("name", column)
 
 
+def followed(names: DataFrame, column: str, fetch: Callable[[str], str]) -> DataFrame:
+    """column, url (where the document comes from), document, error: a page that only forwards is left for its target, once."""
+    from ..functions.html import refresh_content
+    from ..functions.text import refresh_target
+
+    first = fetched(names, column, fetch).withColumn("target", F.nullif(F.trim(refresh_target(refresh_content("document"))), F.lit("")))
+    second = fetched(first.filter("target IS NOT NULL").select("target").distinct(), "target", fetch).select("target", F.col("document").alias("_document"), F.col("error").alias("_error"))
+    hop = F.col("target").isNotNull()
+    both = first.join(second, "target", "left")
+    return both.select(column, F.coalesce("target", column).alias("url"), F.when(hop, F.col("_document")).otherwise(F.col("document")).alias("document"), F.when(hop, F.col("_error")).otherwise(F.col("error")).alias("error"))
+
+
 def counted(documents: DataFrame, column: str, schema: str, data: str = "data") -> DataFrame:
     """column, n: the points of each fetched document, 0 where the fetch failed."""
     return documents.select(column, F.coalesce(F.when(F.col("document").isNotNull(), F.size(F.from_json("document", schema)[data])), F.lit(0)).alias("n"))

@@ -128,10 +128,10 @@ def evolved(old: DataFrame, wanted: dict[str, str]) -> DataFrame:
 
 
 def with_content(rows: DataFrame, articles: DataFrame, extractions: DataFrame) -> DataFrame:
-    """rows (by id) with clean_text, scrape_success and the extraction's company, type and completeness, where there are any."""
+    """rows (by id) with clean_text, scrape_success, has_extraction and the extraction's company, type and completeness, where there are any."""
     a = articles.select(F.col("item_id").alias("id"), "clean_text", "scrape_success")
-    e = extractions.select(F.col("item_id").alias("id"), F.col("company").alias("ai_company"), F.col("transaction_type").alias("ai_type"), "summary_complete")
-    return rows.join(a, "id", "left").join(e, "id", "left")
+    e = extractions.select(F.col("item_id").alias("id"), F.col("company").alias("ai_company"), F.col("transaction_type").alias("ai_type"), "summary_complete", F.lit(True).alias("_there"))
+    return rows.join(a, "id", "left").join(e, "id", "left").withColumn("has_extraction", F.coalesce("_there", F.lit(False))).drop("_there")
 
 
 def page(rows: DataFrame, number: int, size: int, *order: str | Column) -> DataFrame:

@@ -50,10 +50,8 @@ WHERE {_OPEN.replace('id IN (', 'r.id IN (').replace('id NOT', 'r.id NOT')}""",
 def triage_queue_decorated(spark, sf_dir):
     """The whole queue with what is known of each item."""
     raw, art, ext, mas, rej = _t(spark, sf_dir)
-    rows = Q.with_content(Q.triage(raw, art, mas, rej), art, ext.withColumn("_there", F.lit(True)))
-    there = ext.select(F.col("item_id").alias("id"), F.lit(True).alias("there"))
-    rows = rows.join(there, "id", "left")
-    return rows.select("id", "title", F.length("clean_text").cast("long").alias("text_length"), "ai_company", F.coalesce("there", F.lit(False)).alias("has_extraction"), F.coalesce("summary_complete", F.lit(False)).alias("complete"))
+    rows = Q.with_content(Q.triage(raw, art, mas, rej), art, ext)
+    return rows.select("id", "title", F.length("clean_text").cast("long").alias("text_length"), "ai_company", "has_extraction", F.coalesce("summary_complete", F.lit(False)).alias("complete"))
 
 
 _DIGEST = f"""
@@ -266,7 +264,7 @@ def undo_rejection(spark, sf_dir):
 
 @query(with_views("SELECT item_id, location, CAST(NULL AS VARCHAR) AS ai_summary, CAST(NULL AS DOUBLE) AS score FROM master_list UNION ALL SELECT item_id, NULL, ai_summary, NULL FROM ai_extractions", "master_list", "ai_extractions"))
 def schema_evolve(spark, sf_dir):
-    """Wanted columns are added once, and frames of different columns are united."""
+    """Wanted columns are added once, and frames of different columns are united."""
     mas, ext = _t(spark, sf_dir, "master_list", "ai_extractions")
     old = Q.evolved(Q.evolved(mas.select("item_id", "location"), {"score": "double"}), {"score": "double", "location": "string"})
     return old.unionByName(ext.select("item_id", "ai_summary"), allowMissingColumns=True)

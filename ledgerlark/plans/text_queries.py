@@ -16,17 +16,37 @@ from .base import query
 from .queue_queries import label_sql
 
 
-@query(r"""
-SELECT doc_id, array_to_string(list_filter(flatten(list_transform(string_split(text, chr(10)),
-         lambda l: list_transform(string_split(regexp_replace(l, '^\s+|\s+$', '', 'g'), '  '), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')))), lambda x: x <> ''), ' ') AS clean FROM documents""")
+#: Blanks as a trim of listed characters, and line ends as replacements, in SQL.
+_BLANKS = " || ".join(f"chr({i})" for i in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def _clean_sql(x: str) -> str:
+    lines = f"replace({x}, chr(13) || chr(10), chr(10))"
+    for i in (11, 12, 13, 28, 29, 30, 0x85, 0x2028, 0x2029):
+        lines = f"replace({lines}, chr({i}), chr(10))"
+    return f"array_to_string(list_filter(flatten(list_transform(string_split({lines}, chr(10)), lambda l: list_transform(string_split(trim(l, {_BLANKS}), '  '), lambda p: trim(p, {_BLANKS})))), lambda x: x <> ''), ' ')"
+
+
+_SPACED = "concat(text, ' \u00a0\u2003 x  \u00a0y\u2028 z\u001c', lang, '\u0085 \u3000', source, '\u00a0')"
+
+
+@query(f"SELECT doc_id, {_clean_sql(_SPACED)} AS clean FROM documents")
 def clean_whitespace(spark, sf_dir):
-    """I6."""
-    return base(spark, sf_dir, "documents").select("doc_id", text.clean_whitespace("text").alias("clean"))
+    """Texts, and blanks and line ends of all kinds behind them."""
+    return base(spark, sf_dir, "documents").select("doc_id", text.clean_whitespace(F.expr(_SPACED)).alias("clean"))
 
 
-@query()
+_PAGE = "html"
+for _tag in html.DROPPED:
+    _PAGE = f"regexp_replace({_PAGE}, '<{_tag}[^>]*>.*?</{_tag}>', '', 'gis')"
+_PAGE = f"regexp_replace(regexp_replace({_PAGE}, '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'gs')"
+for _name, _char in (("copy", 169), ("middot", 183), ("quot", 34), ("lt", 60), ("gt", 62), ("nbsp", 160), ("amp", 38)):
+    _PAGE = f"replace({_PAGE}, '&{_name};', chr({_char}))"
+
+
+@query(f"SELECT page_id, clean_text, length(clean_text) AS text_length FROM (SELECT page_id, {_clean_sql(_PAGE)} AS clean_text FROM pages) x")
 def clean_html(spark, sf_dir):
-    """Needs a parser."""
+    """By a parser; pages as plain as these can be cleaned by patterns too."""
     return base(spark, sf_dir, "pages").select("page_id", html.clean_html("html").alias("clean_text")).withColumn("text_length", F.length("clean_text").cast("long"))
 
 
@@ -42,7 +62,7 @@ def meta_refresh_target(spark, sf_dir):
 @query(r"""
 SELECT page_id, array_to_string(regexp_extract_all(concat(url, ' ', html), '(?i)https?://(?:[-\w.]|(?:%[\da-f]{2}))+[^\s]*'), ' ') AS links FROM pages""")
 def extract_urls(spark, sf_dir):
-    """Links of pages; messages with entities and captions are tested by hand."""
+    """I8: links of pages."""
     return base(spark, sf_dir, "pages").select("page_id", F.array_join(text.links(F.concat("url", F.lit(" "), "html")), " ").alias("links"))
 
 
@@ -50,11 +70,11 @@ def _wrapped(url):
     return F.concat(F.lit("https://www.google.com/url?rct=j&url="), F.url_encode(url), F.lit("&ct=ga"))
 
 
-@query("SELECT page_id, url AS unwrapped, url AS plain FROM pages WHERE url NOT LIKE '%\\%%' ESCAPE '\\' AND url NOT LIKE '%+%'")
+@query("SELECT page_id, url_decode(replace(url, '+', '%2B')) || '?q=a b+c%d' AS unwrapped, url AS plain FROM pages")
 def unwrap_redirect(spark, sf_dir):
-    """pages' URLs, wrapped and as they are. Those with escapes of their own, which are decoded twice, are tested by hand."""
-    pages = base(spark, sf_dir, "pages").filter(~F.col("url").contains("%") & ~F.col("url").contains("+"))
-    return pages.select("page_id", urls.unwrapped(_wrapped(F.col("url"))).alias("unwrapped"), urls.unwrapped("url").alias("plain"))
+    """All pages' URLs, wrapped with escapes that are decoded twice, and as they are."""
+    pages = base(spark, sf_dir, "pages")
+    return pages.select("page_id", urls.unwrapped(_wrapped(F.concat("url", F.lit("?q=a%20b+c%25d")))).alias("unwrapped"), urls.unwrapped("url").alias("plain"))
 
 
 @query(r"""
@@ -66,14 +86,14 @@ def source_domain(spark, sf_dir):
 
 
 _REPLY = """concat(CASE event_id % 4 WHEN 0 THEN concat('Here: ```json', chr(10)) WHEN 1 THEN '```' ELSE '' END, CASE WHEN event_id % 4 = 3 THEN 'sorry, no' ELSE
-  concat('{"company_name": "C', CAST(event_id AS STRING), '", "sectors": ["AI/ML", "Other"], "capital_sources": [], "deal_amount": null}') END, CASE WHEN event_id % 4 < 2 THEN '```' ELSE '' END)"""
+  concat('{"company_name": "C', CAST(event_id AS STRING), '", "sectors": ["AI/ML", "Other"], "capital_sources": [], "deal_amount": null}') END, CASE WHEN event_id % 4 < 2 THEN CASE WHEN event_id % 8 < 4 THEN '```' ELSE chr(10) END ELSE '' END)"""
 
 
 @query("""
 SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN concat('C', CAST(event_id AS VARCHAR)) END AS company, CASE WHEN event_id % 4 <> 3 THEN 'AI/ML,Other' END AS sectors, CAST(NULL AS VARCHAR) AS capital_sources, event_id % 4 <> 3 AS complete
 FROM events""")
 def parse_reply(spark, sf_dir):
-    """Replies in both kinds of fence, bare, and not JSON at all."""
+    """Replies in both kinds of fence, closed and not, bare, and not JSON at all."""
     from ..functions.columns import joined
 
     r = base(spark, sf_dir, "events").select("event_id", text.parsed_reply(F.expr(_REPLY)).alias("r"))
@@ -192,20 +212,33 @@ _DATES = ((1, "2024-05-06"), (2, "2024-05-06 07:08:09"), (3, "soon"), (4, None))
 
 @query("WITH " + values_sql("v", "id, said", _DATES) + " SELECT id, strftime(coalesce(TRY_CAST(said AS TIMESTAMP), TIMESTAMP '2024-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS shown, strftime(make_date(2020 + id, 12, 31), '%Y-%m-%d') AS year_end FROM v")
 def lenient_dates(spark, sf_dir):
-    """What can't be read is the clock's time, which is passed in."""
+    """What can't be read is the clock's time, which is passed in."""
     v = spark.createDataFrame(list(_DATES), "id int, said string")
     at = F.coalesce(F.try_to_timestamp("said"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return v.select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("shown"), F.date_format(F.make_date(F.lit(2020) + F.col("id"), F.lit(12), F.lit(31)), "yyyy-MM-dd").alias("year_end"))
 
 
-@query()
+_NOW, _SECRET = 1_700_100_000, "test-secret"
+
+
+def _pad(x: int) -> str:
+    return "unhex('" + bytes(b ^ x for b in _SECRET.encode().ljust(64, b"\0")).hex() + "')"
+
+
+@query(with_views(f"""
+WITH m AS (SELECT id, id % 6 AS k, CASE WHEN id % 6 = 4 THEN 'publish' ELSE 'approve' END AS action, {_NOW} - CASE WHEN id % 6 = 1 THEN 90000 ELSE 60 END AS made FROM raw_items),
+s AS (SELECT *, concat(id, ':', action, ':', made) AS message FROM m),
+h AS (SELECT *, substring(sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(message)))), 1, 16) AS signature FROM s)
+SELECT id, concat(message, ':', signature) AS token, k = 0 AS valid, CASE WHEN k < 2 THEN id END AS item_id, CASE WHEN k < 2 THEN action END AS action,
+       CASE k WHEN 1 THEN 'Token expired' WHEN 2 THEN 'Invalid signature' WHEN 3 THEN 'Invalid token format' WHEN 4 THEN 'Invalid action' WHEN 5 THEN 'Token parse error' END AS error
+FROM h""", "raw_items"))
 def token_verdict(spark, sf_dir):
     """Tokens of items, some spoiled, at a fixed clock and under a test secret."""
-    now, secret = 1_700_100_000, "test-secret"
+    now, secret = _NOW, _SECRET
     k = F.col("id") % 6
     made = view(spark, sf_dir, "raw_items").select("id", tokens.signed("id", F.when(k == 4, "publish").otherwise("approve"), F.lit(now) - F.when(k == 1, 90_000).otherwise(60), secret).alias("t"))
     spoiled = F.when(k == 2, F.concat(F.substring_index("t", ":", 3), F.lit(":0123456789abcdef"))).when(k == 3, F.substring_index("t", ":", 3)).when(k == 5, F.concat(F.lit("x"), F.col("t"))).otherwise(F.col("t"))
-    return made.select("id", tokens.verdict(spoiled, F.lit(now), secret).alias("v")).select("id", "v.*")
+    return made.select("id", F.col("t").alias("token"), tokens.verdict(spoiled, F.lit(now), secret).alias("v")).select("id", "token", "v.*")
 
 
 def _stub(title: str, article: str) -> str:
@@ -215,7 +248,7 @@ def _stub(title: str, article: str) -> str:
 
 @query("SELECT doc_id AS item_id, coalesce(regexp_extract(text, '\\S+'), '') AS company, 'Other' AS transaction_type, CAST(NULL AS VARCHAR) AS capital_sources, 'Other' AS sectors, CAST(NULL AS VARCHAR) AS deal_amount, true AS summary_complete FROM documents")
 def extractor_stub(spark, sf_dir):
-    """A deterministic extractor in place of a service."""
+    """K3: a deterministic extractor in place of a service."""
     docs = base(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.lit("").alias("title"), "text")
     return extraction.extract(docs, _stub)
 

@@ -89,16 +89,16 @@ def _sheet(path: str, **options):
         raise RuntimeError("reading workbooks needs an Excel engine for pandas, such as openpyxl") from e
 
 
-def workbook_range(spark: SparkSession, path: str, sheet: str, rows: tuple[int, int], year: int, values: dict[str, int]) -> DataFrame:
-    """A fixed range of a sheet without header: year, and one column per value. Figures lose their fractions."""
-    raw = _sheet(path, sheet_name=sheet, header=None)
+def workbook_range(spark: SparkSession, path: str, sheet: str, rows: tuple[int, int], year: int, values: dict[str, int], sheet_of=_sheet) -> DataFrame:
+    """A fixed range of a sheet without header: year, and one column per value. Figures lose their fractions. sheet_of reads a sheet as a pandas frame."""
+    raw = sheet_of(path, sheet_name=sheet, header=None)
     cut = raw.iloc[rows[0] : rows[1] + 1]
     return spark.createDataFrame([(int(r[year]), *(float(int(r[c])) for c in values.values())) for _, r in cut.iterrows()], "year int, " + ", ".join(f"{k} double" for k in values))
 
 
-def workbook_articles(spark: SparkSession, path: str, sheet: str = "Raw_GA") -> DataFrame:
+def workbook_articles(spark: SparkSession, path: str, sheet: str = "Raw_GA", sheet_of=_sheet) -> DataFrame:
     """title, url, created (text), summary of a sheet with a header. Rows without a title or URL are left out."""
-    raw = _sheet(path, sheet_name=sheet).astype(object)
+    raw = sheet_of(path, sheet_name=sheet).astype(object)
     raw = raw.where(raw.notna(), None)
     rows = [tuple(None if r[c] is None else str(r[c]) for c in ("Title", "URL", "Date Created", "Summary")) for _, r in raw.iterrows()]
     return spark.createDataFrame(rows, "title string, url string, created string, summary string").filter("title IS NOT NULL AND url IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,15 @@ def manifest(points: DataFrame, names: DataFrame, updated: str) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("series_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("series", "n")))).alias("series")).withColumn("last_updated", F.lit(updated))
 
 
+def created(spark: SparkSession, directory: str, name: str, schema: str) -> bool:
+    """Whether a table had to be created; one that is there, with whatever columns, stays as it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return False
+    spark.createDataFrame([], schema).write.parquet(f"{directory}/{name}")
+    return True
+
+
 def write_csv(rows: DataFrame, directory: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(directory)
 
