@@ -35,8 +35,6 @@ from .common import in_bitmap, prepare, slot_bitmap, spool, table
 DEPTH, MIN_DOCUMENTS = 3, 10
 #: Shares of a document's characters in candidates' lines: above the first it may be a near copy, above the second it is taken for one.
 MOSTLY, NEARLY = 0.5, 0.8
-#: Tokens of a line that the leaf generalises; a longer line's remainder is one token more.
-TOKENS = 64
 VARIABLE = "\x00"
 #: A line, or several, without any token.
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
@@ -69,10 +67,6 @@ def _leaves(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def _short(masked: list[str]) -> list[str]:
-    return masked if len(masked) <= TOKENS else [*masked[:TOKENS], "\x02".join(masked[TOKENS:])]
-
-
 def _documents(docs: DataFrame, text: str, key: str) -> DataFrame:
     """What names a row: its id and a hash of its text. Rows that agree in both are one document."""
     return docs.select(*_names(text, key), F.col(text).alias("t")).filter("length(t) > 0")
@@ -108,7 +102,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
                 if some.any():
                     for (x, i, masked), hit in zip(found, some, strict=True):
                         if hit:
-                            out.append((a, b, x, _hash("\x01".join(masked)), i, _short(masked)))
+                            out.append((a, b, x, _hash("\x01".join(masked)), i, masked))
             yield pd.DataFrame(out, columns=["a", "b", "leaf", "line", "i", "masked"]).astype({c: "int64" for c in ("a", "b", "leaf", "line", "i")})
 
     lines = spool(named.mapInPandas(second, "a long, b long, leaf long, line long, i long, masked array<string>").join(full, "leaf", "left_semi"))

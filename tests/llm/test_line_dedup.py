@@ -1,3 +1,6 @@
+import collections
+import random
+
 from ledgerlark.llm import line_dedup as L
 
 
@@ -26,6 +29,59 @@ def test_trailing_names_generalise(spark):
     assert all("share this article" not in t for t in got.values())
 
 
+def test_variable_fields_beyond_the_first_tokens(spark):
+    fixed = [f"t{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    texts = [f"{own(w)}\n{' '.join(fixed)} seen by {w}{w} and others\n{own(w + w)}" for w in "abcdefghijkl"]
+    got = cleaned(make(spark, texts))
+    assert [got[i] for i in range(12)] == [f"{own(w)}\n{own(w + w)}" for w in "abcdefghijkl"]
+
+
+def plain_tree(texts, least):
+    """Line numbers to drop by document, by dictionaries: leaves, constants, templates, and what stands around a run of candidates."""
+    lines = [[(i, L.tokens(x)) for i, x in enumerate(t.split("\n"))] for t in texts]
+    at = collections.defaultdict(set)  # leaf, place, token: documents
+    for d, rows in enumerate(lines):
+        for _, m in rows:
+            for p, w in enumerate(m):
+                at[len(m), tuple(m[: L.DEPTH]), p, w].add(d)
+    template, holders = {}, collections.defaultdict(set)
+    for d, rows in enumerate(lines):
+        for i, m in rows:
+            name = (len(m), tuple(m[: L.DEPTH]))
+            held = [(p, w) for p, w in enumerate(m) if w != L.VARIABLE and len(at[*name, p, w]) >= least]
+            if m and 2 * len(held) >= len(m):
+                template[d, i] = (*name, tuple(held))
+                holders[template[d, i]].add(d)
+    candidate = {k: v for k, v in template.items() if len(holders[v]) >= least}
+    around = collections.defaultdict(set)
+    for d, rows in enumerate(lines):
+        own_ = {i for i, m in rows if m and (d, i) not in candidate}
+        words = texts[d].split("\n")
+        for i, m in rows:
+            if (d, i) in candidate:
+                before, after = max((j for j in own_ if j < i), default=None), min((j for j in own_ if j > i), default=None)
+                around[candidate[d, i]].add((before is not None and words[before], after is not None and words[after]))
+    return {d: [i for i, _ in rows if (d, i) in candidate and len(around[candidate[d, i]]) >= least] for d, rows in enumerate(lines)}
+
+
+def test_against_a_plain_tree(spark):
+    """Documents that are mostly their own, in which notices with variable fields recur more or less often."""
+    rng = random.Random(11)
+    notices = ["read on {} of our pages {}", "{} was here at {} o'clock today", "All rights reserved.", "call {} for {} or write to us", "{} {} {} {}"]
+    texts = []
+    for d in range(60):
+        rows = [" ".join(f"w{d}x{rng.randrange(10**6)}y".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(25)) for _ in range(rng.randint(3, 6))]
+        for n in rng.sample(notices, rng.randint(0, 3)):
+            rows.insert(rng.randint(0, len(rows)), n.format(*(rng.choice(["one", "two", "three", str(rng.randint(1, 99)), f"n{d}q{rng.randint(0, 9)}"]) for _ in range(4))))
+        if d % 7 == 0:
+            rows.insert(rng.randint(0, len(rows)), " \t")
+        texts.append("\n".join(rows))
+    for least in (5, 10):
+        got = {r["doc_id"]: list(r["_dropped"] or []) for r in L.drop_lines(make(spark, texts), min_documents=least).collect()}
+        want = plain_tree(texts, least)
+        assert got == want and sum(map(len, want.values())) > 20
+
+
 def test_below_the_threshold_nothing_goes(spark):
     texts = [f"own {w} {w}x {w}y {w}z text\nAll rights reserved." for w in "abcdefghi"]
     assert list(cleaned(make(spark, texts)).values()) == texts
