@@ -1,3 +1,7 @@
+import collections
+import math
+import random
+
 import numpy as np
 from oracle import SMALL
 
@@ -30,6 +34,73 @@ def test_long_texts_in_parts(monkeypatch):
     assert (np.concatenate(list(Q.ngrams(text, classes))) == whole).all() and len(whole) == len(text)
 
 
+def plain_kneser_ney(texts, classes):
+    """log p(last | first three) by dictionaries, straight from the formula."""
+    orders = [collections.Counter()]
+    for t in texts:
+        c = [int(classes[min(ord(x), 0xFFFF)]) for x in "\n" * 3 + t]
+        orders[0].update(tuple(c[i : i + 4]) for i in range(len(c) - 3))
+    while len(next(iter(orders[-1]))) > 1:
+        orders.append(collections.Counter(g[1:] for g in orders[-1]))
+    cuts, totals, spare = [], [], []
+    for c in orders:
+        n = [0, *(sum(x == k for x in c.values()) for k in (1, 2, 3, 4))]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5, 0.1), k) for k in (1, 2, 3)]
+        total, off = collections.Counter(), collections.Counter()
+        for g, x in c.items():
+            total[g[:-1]] += x
+            off[g[:-1]] += d[min(x, 3) - 1]
+        cuts.append(d)
+        totals.append(total)
+        spare.append(off)
+
+    def p(g, at=0):
+        if at == len(orders):
+            return 1 / Q.ALPHABET
+        total, x = totals[at][g[:-1]], orders[at][g]
+        low = p(g[1:], at + 1)
+        if not total:
+            return low
+        return (x - cuts[at][min(x, 3) - 1] if x else 0) / total + spare[at][g[:-1]] / total * low
+
+    return p
+
+
+def test_against_a_plain_recomputation(spark, monkeypatch):
+    """Perplexities, thresholds and verdicts of two languages, from the labels on."""
+    monkeypatch.setattr(Q, "LEAST", 5)
+    monkeypatch.setattr(Q, "HELD_OUT", 3)
+    rng = random.Random(4)
+    words = {"aa": ["tree", "house", "Rain", "42", "so,", "é"], "bb": ["katz", "maus", "und", "Zug.", "7", "ß"]}
+    docs = [(i, " ".join(rng.choices(words[l], k=rng.randint(3, 30))) + ("\n" + "%#" * 9 if i % 17 == 0 else ""), l) for i, l in enumerate(["aa", "bb"] * 60)]
+    labels = [(i, int(i % 17 != 0), 0) for i, _, _ in docs if i % 3]
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fold = {r["id"]: r["fold"] for r in Q.trusted(marks).collect()}
+    want = {}
+    for lang in words:
+        train = [t for i, t, l in docs if l == lang and fold.get(i, 0) > 0]
+        named = "".join(c for c, _ in sorted(collections.Counter("".join(train)).items(), key=lambda x: (-x[1], x[0]))[: Q.NAMED])
+        classes = Q.class_table(named)
+        p = plain_kneser_ney(train, classes)
+        loss = {}
+        for i, t, l in docs:
+            if l == lang:
+                c = [int(classes[min(ord(x), 0xFFFF)]) for x in "\n" * 3 + t]
+                loss[i] = (-sum(math.log(p(tuple(c[k : k + 4]))) for k in range(len(t))), len(t))
+        held = [i for i in loss if fold.get(i) == 0]
+        mean = sum(loss[i][0] for i in held) / sum(loss[i][1] for i in held)
+        shrunken = {i: (x + Q.SHRINK * mean) / (n + Q.SHRINK) for i, (x, n) in loss.items()}
+        half, most = (sorted(shrunken[i] for i in held)[math.ceil(q * len(held)) - 1] for q in (0.5, Q.QUANTILE))
+        limit = half + Q.SPREAD * (most - half)
+        want |= {i: (math.exp(loss[i][0] / loss[i][1]), math.exp(limit), shrunken[i] <= limit + 1e-6) for i in loss}
+    got = {r["id"]: r for r in Q.judge(frame, marks).collect()}
+    assert set(got) == set(want) and not all(w[2] for w in want.values())
+    for i, (perplexity, threshold, kept) in want.items():
+        assert math.isclose(got[i]["perplexity"], perplexity, rel_tol=1e-4) and math.isclose(got[i]["threshold"], threshold, rel_tol=1e-4)
+        assert got[i]["kept"] == kept or abs(got[i]["threshold"] - threshold) < 1e-3
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet"), spark.read.parquet(SMALL.replace("0.001", "0.01") + "/labels.parquet")
     got = Q.judge(docs, labels).withColumnRenamed("id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").toPandas()
@@ -66,7 +137,7 @@ def test_pipeline_stages(spark, odd):
     assert [n for n, _ in C.STAGES] == ["quality", "lines", "near_duplicates", "pii", "packing"]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, stage in C.STAGES:
-        for rows in (docs, odd.limit(0)):
+        for rows in (docs, odd, odd.limit(0)):
             out = stage(spark, rows, SMALL)
             if name == "packing":
                 assert {"sequence_id", "offset"} <= set(out.columns)
