@@ -40,3 +40,19 @@ def run(spark: SparkSession, source: str, table: str, checkpoint: str):
     query = first_of_url(landed(spark, source)).writeStream.foreachBatch(append_new(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_updates(spark: SparkSession, source: str, table: str, checkpoint: str, users: str):
+    """Takes in the links of all chat updates that are landed now as lines of JSON, once per URL, and returns the finished query."""
+    from ..operators import messages
+
+    append = append_new(table)
+
+    def write(batch: DataFrame, number: int) -> None:
+        taken = messages.intake(batch, users, column="value").filter("command = 'links'").select(F.explode("links").alias("url"))
+        none = F.lit(None)
+        append(taken.select("url", none.cast("string").alias("title"), none.cast("string").alias("summary"), none.cast("timestamp").alias("published"), F.lit("chat").alias("feed_source"), none.cast("timestamp").alias("landed")), number)
+
+    query = spark.readStream.text(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

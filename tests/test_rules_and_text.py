@@ -115,3 +115,11 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<feed><entry><title>A</title><link>http://a?x=1&amp;y</link><published>2024-01-02T03:04:05</published></entry><entry><summary>s</summary><published>soon</published></entry></feed>")
     got = sorted((r["title"], r["url"], r["summary"], str(r["published"])) for r in readers.feed_entries(spark, str(tmp_path / "f.xml"), "x").collect())
     assert got == [("A", "http://a?x=1&y", "", "2024-01-02 03:04:05"), ("No title", "", "s", "None")]
+
+
+def test_blanks_and_open_fences(spark):
+    rows = [("a\u00a0  \u00a0 b \u0085 c\u2003  d \u2028 \u3000e\x1cf\r\n\r\ng\u00a0h",)]
+    assert spark.createDataFrame(rows, "t string").select(text.clean_whitespace("t")).collect()[0][0] == "a b c d e f g\u00a0h"
+    said = [('```json\n{"company_name": "A"}\n', "A"), ('```\n{"company_name": "B"}\n', "B"), ('x ```json {"company_name": "C"}``` y', "C"), ("```json", None), ('{"company_name": "D", "sectors": "x"}', "D")]
+    got = spark.createDataFrame(said, "r string, want string").select(text.parsed_reply("r").alias("p"), "want").collect()
+    assert all(r["p"]["company_name"] == r["want"] and r["p"]["summary_complete"] == (r["want"] is not None) and r["p"]["sectors"] is None for r in got)
