@@ -57,11 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Removes a query's shuffle files at its end; what is spooled needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def spool(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: its lineage ends there, so a lost executor costs no rerun."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/spool/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _SPOOLS.add(at)
     return spark.read.schema(df.schema).parquet(at)
 

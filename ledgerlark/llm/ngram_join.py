@@ -6,7 +6,7 @@ component. It is exact, up to collisions of 64-bit hashes (of shingles, and of t
 1. Documents with one set are one node, so copies meet once, whatever their number.
 2. Candidates. Sets that link differ in at most k shingles, k known from their sizes. A set's shingles are dealt by their hashes
    into k + 1 + x classes, so at least 1 + x classes are the same in both. Under any order of classes by what they hold, the k + 1
-   first of both sets then share one: here the fullest, so that a class names several shingles and hardly ever agrees by chance.
+   first of both sets then share one (of a set whose own size allows fewer differences, fewer do): here the fullest, so that a class names several shingles and hardly ever agrees by chance.
    How often single shingles occur in the corpus doesn't matter, so the work per document doesn't grow with the corpus. Sizes
    fall into bands whose neighbours alone can link; a set posts its classes for its own band and the next.
 3. A list, the nodes that share a class, is led by its node with the most shared classes, often the text that the others were
@@ -77,9 +77,10 @@ def classes(found: np.ndarray, num: int, den: int) -> np.ndarray:
     low, most = bands(num, den)
     own = int(np.searchsorted(low, len(found), side="right")) - 1
     out = []
-    for band in (own, own + 1):
-        k = int(most[band])
-        if not k:
+    n, below = len(found), int(low[own]) - 1
+    for band, partner in ((own, below), (own + 1, n * den // num)):
+        k, least = int(most[band]), (n + partner) * (den - num) // (num + den)  # of all sets of the band, of this one
+        if not least:
             continue
         count = k + 2 + k // 4
         at = (found % np.uint64(count)).astype(np.int64)
@@ -87,7 +88,7 @@ def classes(found: np.ndarray, num: int, den: int) -> np.ndarray:
         halves = [np.bincount(at, weights=(found >> np.uint64(s) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=count).astype(np.uint64) for s in (0, 32)]
         names = mix(mix(halves[0] + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + halves[1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band))
         order = (255 - np.minimum(size, 255)).astype(np.uint64) << np.uint64(56) | names >> np.uint64(8)
-        out.append(names[np.argpartition(order, k)[: k + 1]])
+        out.append(names[np.argpartition(order, least)[: least + 1]])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
