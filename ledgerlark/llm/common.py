@@ -68,7 +68,8 @@ def spool(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(at)
+        with small_batches(spark):  # reused Python workers keep what their largest batch took
+            df.write.parquet(at)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _SPOOLS.add(at)
