@@ -74,9 +74,11 @@ def scaled(points: DataFrame, formats: DataFrame) -> DataFrame:
 
 
 def overlay(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """points, each with the label of the interval it lies in, both days included, or NULL. The few intervals are broadcast by their literal size."""
-    inside = F.col("date").between(F.col("start"), F.col("end"))
-    return points.join(F.broadcast(intervals), inside, "left").drop("start", "end")
+    """points, each with the label of the interval it lies in, both days included, or NULL. Years are the join's key, so that it needs no broadcast."""
+    years = F.sequence(F.year("start"), F.year("end"))
+    by_year = intervals.filter("start <= end").withColumn("_year", F.explode(years))
+    inside = (F.year("date") == F.col("_year")) & F.col("date").between(F.col("start"), F.col("end"))
+    return points.join(by_year, inside, "left").drop("start", "end", "_year")
 
 
 def aligned(points: DataFrame, series: Sequence[str]) -> DataFrame:
