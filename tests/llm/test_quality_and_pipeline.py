@@ -101,6 +101,32 @@ def test_against_a_plain_recomputation(spark, monkeypatch):
         assert got[i]["kept"] == kept or abs(got[i]["threshold"] - threshold) < 1e-3
 
 
+def test_scripts():
+    """Order by coverage: few letters, a syllabary, thousands of characters; ties in count keep the order given."""
+    even = lambda k: [(chr(0x4E00 + i), 10) for i in range(k)]
+    assert Q.script(even(30), 300) == ("".join(c for c, _ in even(30)), 4, 40)
+    assert Q.script(even(100), 1000)[1:] == (3, 136) and Q.script(even(1592), 20_000) == ("".join(c for c, _ in even(1592)), 2, 1600)
+    assert Q.script([], 0) == ("", 4, 40)
+    assert all(alphabet**order <= Q.ALPHABET**Q.ORDER for order, alphabet in Q.SHAPES)
+
+
+def test_a_script_of_many_characters(spark):
+    """Made-up words of 1,200 characters: real order stays, shuffled or random characters go; a Latin language beside it as ever."""
+    rng = random.Random(7)
+    chars = [chr(0x4E00 + i) for i in range(1200)]
+    words = ["".join(rng.choices(chars, k=2)) for _ in range(1500)]
+    real = lambda: "".join(rng.choices(words, k=100)) + "\u3002"
+    mixed = lambda t: "".join(rng.sample(t, len(t)))
+    docs = [(i, real(), "zh") for i in range(500)]
+    docs += [(1000 + i, mixed(real()), "zh") for i in range(40)] + [(2000 + i, "".join(rng.choices(chars, k=200)), "zh") for i in range(40)]
+    docs += [(3000 + i, " ".join(rng.choices(["the", "rain", "falls", "here"], k=40)), "en") for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    marks = frame.filter("doc_id < 400 OR doc_id >= 3000").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    kept = {r["id"] for r in Q.judge(frame, marks).filter("kept").collect()}
+    assert len([i for i in kept if i < 500]) >= 490 and len([i for i in kept if i >= 3000]) == 60
+    assert not [i for i in kept if 1000 <= i < 3000]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet"), spark.read.parquet(SMALL.replace("0.001", "0.01") + "/labels.parquet")
     got = Q.judge(docs, labels).withColumnRenamed("id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").toPandas()
