@@ -50,6 +50,26 @@ def test_votes_decide():
     assert (model.reliability >= 0.5).all()
 
 
+def test_reliabilities_by_kind():
+    """A labeler that is right for one kind and wrong for another is weighed apart; a kind that nobody saw leans on the others."""
+    cells = Counter()
+    sure, fooled = (1, 1, 1, 0, 1, 0), (-1, -1, 1, 0, 0, -1)  # the gazetteer speaks for both
+    for kind, vote in (("secret", sure), ("account", fooled)):
+        cells[pii._cell(kind, vote, 0)] = 500
+    r = pii.Model(cells).reliability
+    known, (secret, account, person) = pii.LABELERS.index("known"), map(pii.KINDS.index, ("secret", "account", "person"))
+    assert r[secret, known] > 0.9 and r[account, known] < 0.6 and 0.5 < r[person, known] < 0.9
+    assert pii.Model(cells).accepts("secret", sure, 0) and not pii.Model(cells).accepts("account", fooled, 0)
+
+
+def test_gazetteers():
+    known = lambda kind, span: pii.votes(span, kind, 0, len(span), True)[2]
+    assert known("email", "a@b.se") == known("email", "a@b.museum") == 1 and known("email", "a@b.zz") == known("email", "a@b.txt") == 0
+    assert known("phone", "+358 40 1234567") == known("phone", "+7 495 1234567") == 1 and known("phone", "+999") == 1 and known("phone", "+29") == 0
+    assert known("account", "DE89 3704 0044 0532 0130 00") == 1 and known("account", "DE89 3704 0044 0532 0130") == known("account", "ZZ89 3704 0044 0532 0130 00") == -1
+    assert known("person", "Petra Holm") == 1 and known("person", "Xyl Holm") == 0
+
+
 def test_failed_matches_leave_looser_candidates():
     for kind, span in (("account", "123-45-6789"), ("phone", "555-123-4567"), ("phone", "555 123 4567")):
         assert [x[:3] for x in pii.candidates(f"it is {span} so")] == [(kind, 6, 6 + len(span))]
