@@ -2,7 +2,8 @@
 
 Packing looks at lengths alone, and there are no more than `capacity` different ones, so the plan is made from a histogram
 and costs the same at any input size: large lengths are split into groups of equal cardinality and rounded up to their
-group's largest, patterns of these few sizes fill sequences, the actual lengths then take the rounded ones' places, and
+group's largest, a linear program over all patterns of these few sizes says how often each fills a sequence (its whole part is
+used, what is left over is filled pattern after pattern), the actual lengths then take the rounded ones' places, and
 short documents go, longest first, to the sequence with the least room that takes them. The plan is a list of intervals of
 ranks within a length; Spark ranks the pieces and looks their places up.
 
@@ -28,6 +29,8 @@ from .common import named, prepare, spool, table
 RANKED, PARTS = 512, 8192
 #: Shares of the capacity above which a length is large, and numbers of groups, that the planner tries; it keeps the plan with the fewest sequences.
 LARGE, GROUPS = (8, 4, 3), (64, 256, 1024)
+#: Groups up to which the linear program is solved, and its steps for each size: every step's solution packs all, later ones in fewer sequences.
+SOLVED, STEPS = 64, 40
 
 _RANK_BITS = 44
 
@@ -100,7 +103,49 @@ def fill(sizes: list[int], left: list[int], room: int) -> list[int]:
     return out
 
 
-def grouped_plan(counts: dict[int, int], capacity: int, share: int, groups: int) -> Plan:
+def worthiest(sizes: list[int], worth: np.ndarray, room: int) -> np.ndarray:
+    """How many of each size make the pattern of the greatest worth that the room takes."""
+    best, last = np.zeros(room + 1), np.full(room + 1, -1)
+    for i, s in enumerate(sizes):
+        if worth[i] <= 0:
+            continue
+        for at in range(s, room + 1, s):  # a stretch at a time, each from the one before
+            here = best[at : at + s]
+            new = best[at - s : at - s + len(here)] + worth[i]
+            better = new > here + 1e-12
+            here[better] = new[better]
+            last[at : at + s][better] = i
+    out = np.zeros(len(sizes), dtype=np.int64)
+    at = room
+    while last[at] >= 0:
+        out[last[at]] += 1
+        at -= sizes[last[at]]
+    return out
+
+
+def configurations(sizes: list[int], left: list[int], room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The linear program of patterns by column generation: patterns (one a column), how often each is used, and each size's worth.
+
+    Minimal sum of uses under which the patterns hold `left` of each size. It starts from patterns of one size; a pattern worth more
+    than a sequence enters while there is one.
+    """
+    b = np.array(left, dtype=float)
+    basis = np.diag([float(room // s) for s in sizes])
+    used = b / np.diag(basis)
+    for _ in range(STEPS * len(sizes)):
+        worth = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        pattern = worthiest(sizes, worth, room)
+        if worth @ pattern <= 1 + 1e-9:
+            break
+        turn = np.linalg.solve(basis, pattern.astype(float))
+        ratio = np.where(turn > 1e-9, used / np.where(turn > 1e-9, turn, 1), np.inf)
+        out = int(ratio.argmin())
+        basis[:, out] = pattern
+        used = np.linalg.solve(basis, b).clip(0)
+    return basis.round().astype(np.int64), used, worth
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, share: int, groups: int, solve: bool = False) -> Plan:
     plan, ranks = Plan(capacity), dict.fromkeys(counts, 0)
     if counts.get(capacity):
         plan.add(counts[capacity], [(capacity, 1, 0, 0)])
@@ -122,6 +167,13 @@ def grouped_plan(counts: dict[int, int], capacity: int, share: int, groups: int)
             queues[-1].append([n, take, rank])
             rank, rest, inside = rank + take, rest - take, inside + take
     left = [sum(c for _, c, _ in q) for q in queues]
+    if solve and sizes:
+        patterns, uses, _ = configurations(sizes, left, capacity)
+        for pattern, use in zip(patterns.T.tolist(), uses, strict=True):
+            times = min([int(use + 1e-6), *(c // m for c, m in zip(left, pattern, strict=True) if m)])
+            if times:
+                _substitute(plan, queues, pattern, times)
+                left = [c - times * m for c, m in zip(left, pattern, strict=True)]
     while any(left):
         first = next(i for i, c in enumerate(left) if c)
         left[first] -= 1
@@ -166,7 +218,7 @@ def _substitute(plan: Plan, queues: list, pattern: list[int], times: int) -> Non
 
 
 def best_plan(counts: dict[int, int], capacity: int) -> Plan:
-    return min((grouped_plan(counts, capacity, s, g) for s in LARGE for g in GROUPS), key=lambda p: p.bins)
+    return min((grouped_plan(counts, capacity, s, g, solve) for s in LARGE for g in GROUPS for solve in (True, False) if g <= SOLVED or not solve), key=lambda p: p.bins)
 
 
 def _byte_of_char() -> dict[str, int]:

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -114,6 +115,30 @@ def placed(counts, capacity):
     return len(bins)
 
 
+def test_configurations_are_optimal():
+    """Every pattern fits, the uses hold exactly what is asked for, and by duality over all patterns no other uses are fewer."""
+    rng = random.Random(5)
+    for _ in range(60):
+        room = rng.randint(8, 40)
+        sizes = sorted(rng.sample(range(2, room), rng.randint(1, 5)), reverse=True)
+        left = [rng.randint(1, 50) for _ in sizes]
+        patterns, uses, worth = packing.configurations(sizes, left, room)
+        assert (np.array(sizes) @ patterns <= room).all() and np.allclose(patterns @ uses, left)
+        every = [p for p in itertools.product(*(range(room // s + 1) for s in sizes)) if np.dot(p, sizes) <= room]
+        assert max(np.dot(p, worth) for p in every) <= 1 + 1e-6 and np.isclose(uses.sum(), np.dot(worth, left))
+
+
+def test_solved_plans_need_fewer_sequences():
+    rng = random.Random(6)
+    counts = collections.Counter()
+    for _ in range(2000):  # three that fill a sequence
+        a, b = rng.randint(500, 900), rng.randint(500, 900)
+        counts.update((a, b, 2048 - a - b))
+    filled, solved = (min(packing.grouped_plan(counts, 2048, s, 64, x).bins for s in packing.LARGE) for x in (False, True))
+    assert 2000 <= solved < filled and packing.best_plan(counts, 2048).bins <= solved
+    placed(counts, 2048)
+
+
 def test_plans_are_gapless_and_near_the_bound():
     rng = random.Random(1)
     for _ in range(60):
