@@ -13,6 +13,9 @@ COLUMNS = {
     "op7_ngram_join": {"doc_id", "n_shingles", "component_id"},
     "op9_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op10_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op11_lloyd": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
+    "op12_decontamination": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
+    "op13_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
 }
 
 
@@ -23,8 +26,8 @@ def test_against_sql(spark, name):
     assert rows(got) == rows(want)
 
 
-def test_ten_operators_one_query_each():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
