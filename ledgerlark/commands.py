@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import queues as Q
@@ -13,32 +13,56 @@ from .operators import views as V
 from .sources import readers, schemas, sinks
 
 
+def _hadoop(spark: SparkSession, *paths: str):
+    jvm = spark._jvm
+    made = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return made[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *made
+
+
+def _recovered(spark: SparkSession, home: str, name: str) -> None:
+    """Puts a table's last version back, if a command was lost between the two renames of _replaced."""
+    fs, at, older = _hadoop(spark, f"{home}/{name}", f"{home}/.{name}-old-*")
+    if not fs.exists(at):
+        for kept in fs.globStatus(older) or ():
+            if fs.rename(kept.getPath(), at):
+                return
+
+
 def _tables(spark: SparkSession, home: str) -> dict[str, DataFrame]:
     """The tables of a folder; missing ones are created."""
     for name, schema in schemas.TABLES.items():
+        _recovered(spark, home, name)
         sinks.created(spark, home, name, schema)
     return {name: readers.curation_table(spark, home, name) for name in schemas.TABLES}
 
 
 def _replaced(spark: SparkSession, home: str, name: str, rows: DataFrame) -> None:
-    """Writes a table's new version beside the old one, then puts it in its place."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old, at = (jvm.org.apache.hadoop.fs.Path(f"{home}/{x}") for x in (f".{name}-{uuid.uuid4().hex}", f".{name}-old-{uuid.uuid4().hex}", name))
-    sinks.write_table(rows, new.toString())
-    fs = at.getFileSystem(conf)
-    fs.rename(at, old)
-    fs.rename(new, at)
+    """Writes a table's new version beside the old one, then puts it in its place.
+
+    A rename that fails puts the old version back and raises; a command lost between the renames leaves the old version
+    aside, and the next command finds it there. Tables that change by the batch are better kept in sources.store.
+    """
+    new_name, old_name = f"{home}/.{name}-{uuid.uuid4().hex}", f"{home}/.{name}-old-{uuid.uuid4().hex}"
+    fs, at, new, old = _hadoop(spark, f"{home}/{name}", new_name, old_name)
+    sinks.write_table(rows, new_name)
+    if not fs.rename(at, old):
+        fs.delete(new, True)
+        raise OSError(f"{name}: the old version can't be put aside; nothing has changed")
+    if not fs.rename(new, at):
+        back = fs.rename(old, at)
+        raise OSError(f"{name}: the new version can't be put in place; {'nothing has changed' if back else f'the old one is in {old_name}'}")
     fs.delete(old, True)
 
 
 def rss_fetcher(spark: SparkSession, home: str, landed: str, source: str = "landed") -> DataFrame:
     """new, duplicate: landed feeds' entries, taken into raw_items once per URL."""
     t = _tables(spark, home)["raw_items"]
-    entries = readers.feed_entries(spark, landed, source).filter("url <> ''")
-    fresh = Q.new_rows(entries, t, "url", "published", "title")
+    seen, taken = Observation(), Observation()
+    entries = readers.feed_entries(spark, landed, source).filter("url <> ''").observe(seen, F.count(F.lit(1)).alias("n"))
+    fresh = Q.new_rows(entries, t, "url", "published", "title").observe(taken, F.count(F.lit(1)).alias("n"))
     rows = fresh.select(F.xxhash64("url").alias("id"), "url", "title", F.col("summary").alias("rss_summary"), F.col("published").alias("published_date"), "feed_source", F.lit("new").alias("status"))
-    added, every = rows.count(), entries.count()
     _replaced(spark, home, "raw_items", t.unionByName(rows, allowMissingColumns=True).select(t.columns))
+    added, every = taken.get["n"], seen.get["n"]  # counted by the write itself
     return spark.createDataFrame([(added, every - added)], "new long, duplicate long")
 
 

@@ -54,6 +54,9 @@ def clean_html(html: Column | str) -> Column:
 
 
 def refresh_content(html: Column | str) -> Column:
-    """The content of the first refresh header, for pages that only forward."""
-    tag = F.regexp_extract(col(html), r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh[\"']?[^>]*>", 0)
-    return F.nullif(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*\"([^\"]*)\"", 1), F.lit(""))
+    """The content of the first refresh header, for pages that only forward. Values may stand in quotes of either kind or in none."""
+    tags = F.regexp_extract_all(col(html), F.lit(r"(?is)<meta\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), 0)
+    tag = F.get(F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))), F.lit(0))
+    value = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    found = [F.nullif(F.regexp_extract(tag, value, i), F.lit("")) for i in (1, 2, 3)]
+    return F.coalesce(*found)

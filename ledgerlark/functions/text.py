@@ -91,3 +91,11 @@ def truncated(text: Column | str, n: int, leeway: int = 5) -> Column:
     """Cut at the last blank before n characters, with dots; a text that is longer by the leeway at most stays whole."""
     t = col(text)
     return F.when(F.length(t) <= n + leeway, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n - 3), r"(?s) [^ ]*\z", ""), F.lit("...")))
+
+
+def cell_order(cell: Column | str, descending: bool = False) -> list[Column]:
+    """Sort keys of a table's column, as its header sorts it: numbers by value before texts in the order of a dictionary (root collation), or all of it the other way round. NULL comes last."""
+    number, said = number_cell(cell), F.collate(F.trim(col(cell)), "UNICODE")
+    if not descending:
+        return [F.asc_nulls_last(number), F.asc_nulls_last(said)]
+    return [F.when(number.isNull(), said).desc_nulls_last(), F.desc_nulls_last(number)]

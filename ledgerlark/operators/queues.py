@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered, page  # noqa: F401
 
 
 def newest(rows: DataFrame, limit: int | None = None, by: str = "published_date", key: str = "id") -> DataFrame:
@@ -83,10 +84,15 @@ def new_rows(batch: DataFrame, stored: DataFrame, key: str, *order: str | Column
 
 
 def split_batch(batch: DataFrame, stored: DataFrame, key: str, *order: str | Column) -> DataFrame:
-    """batch with is_new: whether a row would be inserted, in arrival order, against the stored rows and earlier rows of the batch."""
-    known = stored.select(key).distinct().withColumn("_known", F.lit(True))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
-    return batch.join(known, key, "left").withColumn("is_new", first & F.col("_known").isNull()).drop("_known")
+    """batch with is_new: whether a row would be inserted, in arrival order, against the stored rows and earlier rows of the batch.
+
+    Rows are numbered in ranges, a key's first number is a minimum, and numbers are joined, so a key that half of the batch
+    shares makes no hot task.
+    """
+    rows = numbered(batch, *order, name="_row")
+    first = rows.groupBy(key).agg(F.min("_row").alias("_row"))
+    fresh = first.join(stored.select(key).distinct(), key, "left_anti").select("_row", F.lit(True).alias("_fresh"))
+    return rows.join(fresh, "_row", "left").select(*batch.columns, F.coalesce("_fresh", F.lit(False)).alias("is_new"))
 
 
 def latest_wins(old: DataFrame, updates: DataFrame, key: str, kept: tuple[str, ...] = ()) -> DataFrame:
@@ -132,11 +138,3 @@ def with_content(rows: DataFrame, articles: DataFrame, extractions: DataFrame) -
     a = articles.select(F.col("item_id").alias("id"), "clean_text", "scrape_success")
     e = extractions.select(F.col("item_id").alias("id"), F.col("company").alias("ai_company"), F.col("transaction_type").alias("ai_type"), "summary_complete", F.lit(True).alias("_there"))
     return rows.join(a, "id", "left").join(e, "id", "left").withColumn("has_extraction", F.coalesce("_there", F.lit(False))).drop("_there")
-
-
-def page(rows: DataFrame, number: int, size: int, *order: str | Column) -> DataFrame:
-    """A page of rows with row (from 1) and pages, the number of pages. Ranks come from the pages' rows alone."""
-    total = rows.agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("long").alias("pages"))
-    upto = rows.orderBy(*order).limit(number * size)
-    ranked = upto.withColumn("row", F.row_number().over(Window.orderBy(*order)).cast("long")).filter(F.col("row") > (number - 1) * size)
-    return ranked.join(total, F.lit(True))

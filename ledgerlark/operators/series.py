@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import inside
+
 #: Observations back that count as a year, whatever the series' frequency.
 YEAR = 12
 
@@ -74,11 +76,20 @@ def scaled(points: DataFrame, formats: DataFrame) -> DataFrame:
 
 
 def overlay(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """points, each with the label of the interval it lies in, both days included, or NULL. Years are the join's key, so that it needs no broadcast."""
-    years = F.sequence(F.year("start"), F.year("end"))
-    by_year = intervals.filter("start <= end").withColumn("_year", F.explode(years))
-    inside = (F.year("date") == F.col("_year")) & F.col("date").between(F.col("start"), F.col("end"))
-    return points.join(by_year, inside, "left").drop("start", "end", "_year")
+    """points, each with the label of the interval it lies in, both days included, or NULL."""
+    return inside(points, intervals).drop("start", "end")
+
+
+def chart_pages(points: DataFrame, charts: DataFrame, first_day: str, exempt: Sequence[str] = (), from_zero: Sequence[str] = ()) -> DataFrame:
+    """A row for each chart with points: the dimension's columns, from_zero, the summary's, and points (date, label, value, scaled) by date.
+
+    A chart's points are one row, as its page holds them; series longer than a page is for belong in frames of points.
+    """
+    shown = labelled(since(without_missing(points), first_day, exempt))
+    named = shown.withColumnRenamed("series", "chart").join(charts, "chart")
+    one = F.struct("date", "label", "value", (F.col("value") / F.coalesce("divisor", F.lit(1))).alias("scaled"))
+    rows = named.groupBy(*charts.columns).agg(F.array_sort(F.collect_list(one)).alias("points"))
+    return rows.join(summary(points).withColumnRenamed("series", "chart"), "chart").withColumn("from_zero", F.col("chart").isin(*from_zero))
 
 
 def aligned(points: DataFrame, series: Sequence[str]) -> DataFrame:
@@ -87,11 +98,35 @@ def aligned(points: DataFrame, series: Sequence[str]) -> DataFrame:
 
 
 def related(charts: DataFrame, k: int = 3) -> DataFrame:
-    """chart, pos, related: up to k other charts of the category, in the dimension's order."""
-    other = charts.select("category", F.col("chart").alias("related"), F.col("ord").alias("o"))
-    pairs = charts.select("chart", "category").join(other, "category").filter("chart <> related")
-    rank = F.row_number().over(Window.partitionBy("chart").orderBy("o"))
-    return pairs.withColumn("pos", rank).filter(F.col("pos") <= k).select("chart", F.col("pos").cast("int").alias("pos"), "related")
+    """chart, pos, related: up to k other charts of the category, in the dimension's order.
+
+    They are among the category's first k + 1, which partial aggregation finds; so a category's charts aren't paired with each other.
+    """
+    listed = F.collect_list(F.struct(F.col("ord").alias("o"), F.col("chart").alias("c")))
+    rank = F.row_number().over(Window.partitionBy("category", "_part").orderBy("ord"))  # first k + 1 of each part, then of all
+    dealt = charts.select("chart", "category", "ord", F.pmod(F.xxhash64("chart"), F.lit(64)).alias("_part"))
+    first = dealt.withColumn("_n", rank).filter(F.col("_n") <= k + 1).groupBy("category").agg(F.slice(F.array_sort(listed), 1, k + 1).alias("_first"))
+    others = F.slice(F.filter("_first", lambda x: x["c"] != F.col("chart")), 1, k)
+    return charts.join(first, "category").select("chart", F.posexplode(others).alias("pos", "x")).select("chart", (F.col("pos") + 1).cast("int").alias("pos"), F.col("x.c").alias("related"))
+
+
+def fingerprints(points: DataFrame, key: str = "series") -> DataFrame:
+    """key, rows, and two sums of row hashes: the same for the same rows in any order, each as often as it is there."""
+    whole = [c for c in points.columns if c != key]
+    h = lambda salt: F.sum(F.xxhash64(F.lit(salt), *whole).cast("decimal(38,0)"))
+    return points.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), h(1).alias("h1"), h(2).alias("h2"))
+
+
+def changed_series(old: DataFrame, new: DataFrame, key: str = "series") -> DataFrame:
+    """key, rows_old, rows_new, changed: which series of two versions differ, rows counted as often as they are there.
+
+    old and new are frames of points or of fingerprints, so that the old version needs no second reading.
+    """
+    kept = lambda df: df if {"h1", "h2", "rows"} <= set(df.columns) else fingerprints(df, key)
+    side = lambda df, name: kept(df).select(F.col(key), F.struct("rows", "h1", "h2").alias(name))
+    both = side(old, "o").join(side(new, "n"), key, "full_outer")
+    rows = lambda name: F.coalesce(F.col(f"{name}.rows"), F.lit(0).cast("long"))
+    return both.select(key, rows("o").alias("rows_old"), rows("n").alias("rows_new"), (~F.col("o").eqNullSafe(F.col("n"))).alias("changed"))
 
 
 def listed(categories: DataFrame, charts: DataFrame) -> DataFrame:

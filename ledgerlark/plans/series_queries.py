@@ -26,6 +26,15 @@ def _named(spark, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "monthly").replace(dict(NAMES), subset=["series"])
 
 
+def linked(charts: DataFrame) -> DataFrame:
+    """charts with source_name, source_url and footer."""
+    c, custom, ticker = F.col("chart"), F.col("chart").isin(*D.CUSTOM), F.col("chart").isin(*D.TICKERS)
+    fred, yahoo = F.lit("Federal Reserve Economic Data (FRED)"), F.lit("Yahoo Finance")
+    link = F.when(custom, None).when(ticker, F.concat(F.lit("https://finance.yahoo.com/quote/"), F.upper(c))).otherwise(F.concat(F.lit("https://fred.stlouisfed.org/series/"), F.upper(c)))
+    name = F.when(custom, "Custom Research").when(ticker, yahoo).otherwise(fred)
+    return charts.select("*", name.alias("source_name"), link.alias("source_url"), F.when(ticker, yahoo).otherwise(fred).alias("footer"))
+
+
 def _summary_sql(points: str) -> str:
     return with_views(f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC, value DESC) AS rn, count(*) OVER (PARTITION BY series) AS n FROM {points}),
@@ -164,10 +173,7 @@ SELECT chart, CASE WHEN chart IN ('vc_defense', 'ma_defense', 'public_defense_co
 FROM c""")
 def source_links(spark, sf_dir):
     """Where a chart's data come from. The footer credits own research to the economic series' source too."""
-    c, custom, ticker = F.col("chart"), F.col("chart").isin(*D.CUSTOM), F.col("chart").isin(*D.TICKERS)
-    fred, yahoo = F.lit("Federal Reserve Economic Data (FRED)"), F.lit("Yahoo Finance")
-    link = F.when(custom, None).when(ticker, F.concat(F.lit("https://finance.yahoo.com/quote/"), F.upper(c))).otherwise(F.concat(F.lit("https://fred.stlouisfed.org/series/"), F.upper(c)))
-    return D.charts(spark).select("chart", F.when(custom, "Custom Research").when(ticker, yahoo).otherwise(fred).alias("source_name"), link.alias("source_url"), F.when(ticker, yahoo).otherwise(fred).alias("footer"))
+    return linked(D.charts(spark)).select("chart", "source_name", "source_url", "footer")
 
 
 @query("""

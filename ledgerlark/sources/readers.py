@@ -11,7 +11,7 @@ from . import schemas
 
 
 def series_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per series file. Files that aren't JSON give a row of nulls; see fetched_counts."""
+    """One row per series file. Files that aren't JSON give a row of nulls; see series_outcomes."""
     return spark.read.schema(schemas.SERIES).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
 
 
@@ -21,6 +21,30 @@ def series_points(documents: DataFrame) -> DataFrame:
     return named.select("series", F.posexplode("data").alias("pos", "p")).select("series", "pos", F.to_date("p.date").alias("date"), "p.value", "p.open", "p.high", "p.low", "p.close", "p.volume")
 
 
+#: The source that a landed file belongs to: its folder `series=…`, or else its name without the ending.
+SOURCE = r"(?:/series=([^/]+)/[^/]*|/([^/]+?)(?:\.[^/.]*)?)$"
+
+
+def named_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """series documents of a folder with source (by SOURCE, lower case) and _corrupt_record, the text of a file that isn't one whole document."""
+    one = spark.read.schema(f"{schemas.SERIES}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(directory)
+    path = F.col("_metadata.file_path")
+    return one.select("*", F.lower(F.coalesce(F.nullif(F.regexp_extract(path, SOURCE, 1), F.lit("")), F.regexp_extract(path, SOURCE, 2))).alias("source"))
+
+
+def series_outcomes(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, n (points), error: one row for each configured source. A source that failed has no points and its reason; the others are whole.
+
+    documents: of named_documents. sources: source. Reasons: no document, malformed document, no data.
+    """
+    broken = F.col("_corrupt_record").isNotNull()
+    error = F.when(broken, "malformed document").when(F.col("data").isNull(), "no data")
+    seen = documents.select("source", F.coalesce(F.size("data"), F.lit(0)).cast("long").alias("n"), error.alias("error"))
+    found = seen.groupBy("source").agg(F.sum(F.when(F.col("error").isNull(), F.col("n")).otherwise(0)).alias("n"), F.max("error").alias("error"), F.lit(True).alias("there"))
+    both = sources.select(F.col("source"), F.lower("source").alias("_key")).join(found.withColumnRenamed("source", "_key"), "_key", "left")
+    return both.select("source", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("there").isNull(), "no document").otherwise(F.col("error")).alias("error"))
+
+
 def recessions(spark: SparkSession, path: str) -> DataFrame:
     """start, end (dates, both included), label."""
     one = spark.read.schema(schemas.RECESSIONS).option("multiLine", True).json(path)
@@ -52,6 +76,40 @@ def feed_entries(spark: SparkSession, path: str, source: str, tag: str = "entry"
     return _entries(spark.read.format("xml").schema(schemas.FEED_ENTRY).option("rowTag", tag).load(path), source)
 
 
+#: An element of a feed, RSS or Atom.
+_ELEMENT = r"(?s)<(item|entry)(?:\s[^>]*)?>.*?</\1\s*>"
+
+
+def feed_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """file, document, warning of all landed feeds below a folder; warning says that a document isn't well-formed."""
+    texts = spark.read.option("recursiveFileLookup", True).text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+    parsed = F.from_xml("document", "_corrupt_record string, channel string, entry array<string>", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    broken = F.coalesce(parsed["_corrupt_record"].isNotNull(), F.lit(True))
+    return texts.withColumn("warning", F.when(broken, "not well-formed"))
+
+
+def feed_items(documents: DataFrame, source: str) -> DataFrame:
+    """file and the columns of feed_entries, for each RSS item and Atom entry of documents; of a broken document, those that are whole.
+
+    An Atom link is the href of its first link that is an alternate, or doesn't say what it is.
+    """
+    rows = documents.select("file", F.explode(F.regexp_extract_all("document", F.lit(_ELEMENT), 0)).alias("x")).select("file", F.from_xml("x", schemas.FEED_ITEM).alias("e"))
+    own = F.filter(F.col("e.link"), lambda k: k["_href"].isNull() | F.coalesce(k["_rel"] == "alternate", F.lit(True)))
+    first = F.try_element_at(own, F.lit(1))
+    said = F.coalesce("e.pubDate", "e.published", "e.updated")
+    rfc = F.regexp_replace(F.regexp_replace(said, r"^[A-Za-z]{3},\s*", ""), r"(?:GMT|UT|UTC|Z)$", "+0000")
+    when = F.coalesce(F.try_to_timestamp(said), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")))
+    text = lambda c, missing: F.coalesce(F.trim(c), F.lit(missing))
+    return rows.select(
+        "file",
+        text("e.title", "No title").alias("title"),
+        text(F.coalesce(first["_href"], first["_VALUE"]), "").alias("url"),
+        text(F.coalesce("e.description", "e.summary"), "").alias("summary"),
+        when.cast("timestamp_ntz").alias("published"),
+        F.lit(source).alias("feed_source"),
+    )
+
+
 def parsed_entries(rows: DataFrame, column: str, source: str) -> DataFrame:
     """The same of a column of single entries, as a queue delivers them."""
     return _entries(rows.select(F.from_xml(column, schemas.FEED_ENTRY).alias("e")).select("e.*"), source)
@@ -114,3 +172,11 @@ def present_files(spark: SparkSession, directory: str, required: Iterable[str])
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select(F.element_at(F.split("path", "/"), -1).alias("name")).distinct().withColumn("present", F.lit(True))
     wanted = spark.createDataFrame([(x,) for x in required], "name string")
     return wanted.join(listed, "name", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def present_sources(spark: SparkSession, directory: str, required: DataFrame) -> DataFrame:
+    """name, present of the required sources (name, by SOURCE) of a folder, however many; the listing reads no contents."""
+    path = F.col("path")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select(F.coalesce(F.nullif(F.regexp_extract(path, SOURCE, 1), F.lit("")), F.regexp_extract(path, SOURCE, 2)).alias("name"))
+    named = listed.select(F.url_decode("name").alias("name")).distinct().withColumn("present", F.lit(True))
+    return required.select("name").join(named, "name", "left").select("name", F.coalesce("present", F.lit(False)).alias("present"))

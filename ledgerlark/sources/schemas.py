@@ -23,4 +23,5 @@ RECESSIONS = "description string, source string, recessions array<struct<start:s
 MANIFEST = "last_updated string, series_count long, instruments_count long, series map<string,long>, instruments map<string,long>"
 CONFIG = "rss_feeds array<struct<name:string,url:string,enabled:boolean>>, keywords struct<high_priority:array<string>,exclude:array<string>>, scraping struct<timeout_seconds:long,user_agent:string>"
 FEED_ENTRY = "title string, link string, summary string, published string"
+FEED_ITEM = "title string, link array<struct<_VALUE:string,_href:string,_rel:string>>, description string, summary string, pubDate string, published string, updated string"
 UPDATE = "message struct<text:string,caption:string,chat:struct<id:long>,from:struct<id:long,username:string>,entities:array<struct<type:string,offset:int,length:int>>>"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 ENTRY = "url string, title string, summary string, published timestamp, feed_source string, landed timestamp"
 
 
@@ -35,6 +37,33 @@ def append_new(table: str):
     return write
 
 
+SLICED = "url string, slice long, landed timestamp"
+
+
+def earliest(entries: DataFrame, delay: str = "7 days", of: str = "slice") -> DataFrame:
+    """url and the least `of` of its entries, as a stream of updates. The watermark lets go of the state of windows that are over; the table knows their URLs."""
+    return entries.withWatermark("landed", delay).groupBy(F.window("landed", delay), "url").agg(F.min(of).alias(of)).select("url", of)
+
+
+def intake(spark: SparkSession, source: str, table: store.Table, checkpoint: str):
+    """Takes in all entries (of SLICED) that are landed now and returns the finished query. A URL enters the table once, with the slice that brought it first.
+
+    The state is kept under the checkpoint; a batch leaves its mark in the table, under the checkpoint's id, so that a batch
+    that runs again is void, and a start from the checkpoint without new files adds nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        mark = f"{session.read.schema('id string').json(f'{checkpoint}/metadata').first()['id']}-{number}"
+        if not store.insert(session, table, batch.filter("url <> ''"), order=("slice",), mark=mark):
+            batch.write.format("noop").mode("overwrite").save()  # the state of a void batch is committed all the same
+
+    entries = spark.readStream.schema(SLICED).json(source)
+    query = earliest(entries).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def run(spark: SparkSession, source: str, table: str, checkpoint: str):
     """Takes in all that is landed now, and returns the finished query."""
     query = first_of_url(landed(spark, source)).writeStream.foreachBatch(append_new(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
