@@ -37,9 +37,9 @@ def integers(df: DataFrame, vector: str, key: str, width: int) -> DataFrame:
     x = F.col(vector)
     sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     whole = F.transform(x, lambda e: F.floor(e.cast("double") * 256))
-    fits = F.forall(whole, lambda e: (e <= LARGEST) & (e >= -LARGEST))
-    kept = df.filter(x.isNotNull() & (F.size(x) == width)).filter(sound).select(F.col(key).alias("id"), F.transform(whole, lambda e: F.when(fits, e).otherwise(F.raise_error(F.lit("a component is too large for exact distances")))).alias("v"))
-    return kept.select("id", F.col("v").cast("array<int>").alias("v"))
+    fits = F.forall("v", lambda e: (e <= LARGEST) & (e >= -LARGEST))
+    kept = df.filter(x.isNotNull() & (F.size(x) == width)).filter(sound).select(F.col(key).alias("id"), whole.alias("v"))
+    return kept.select("id", F.when(fits, F.col("v")).otherwise(F.raise_error(F.lit("a component is too large for exact distances"))).cast("array<int>").alias("v"))
 
 
 def _packed(width: int):
