@@ -135,7 +135,7 @@ def _carried(named: DataFrame, used: DataFrame, min_documents: int) -> DataFrame
                 out += _evidence(list(hashes), list(sizes), dict(zip(at, templates, strict=True)))
             yield pd.DataFrame(out, columns=["template", "held", "mid", "value"]).astype({"template": "int64", "held": "int64", "mid": "bool", "value": "int64"})
 
-    texts = shown.withColumn("hashes", F.transform("hashes", lambda x: x.cast("string"))).join(held, ["a", "b"]).drop("a", "b")
+    texts = shown.join(held, ["a", "b"]).select(F.transform("hashes", lambda x: x.cast("string")).alias("hashes"), "sizes", "at", "templates")
     seen = texts.mapInPandas(look, "template long, held long, mid boolean, value long").distinct()
     counts = seen.groupBy("template", "held", "mid").agg(F.count(F.lit(1)).alias("n"))
     light, mostly = F.col("held") == 0, F.col("held") != 0
@@ -167,8 +167,9 @@ def _evidence(hashes: list, sizes: list, held: dict[int, int]) -> set[tuple[int,
 def drop_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """docs with their texts less the recurring lines, and _lines: how many there were, _dropped: the numbers of those dropped."""
     found = spool(recurring_lines(docs, text, key, min_documents))
-    named = docs.select(F.struct("*").alias("row"), *_names(text, key), F.col(text).alias("t"), F.split(F.col(text), "\n").alias("all"))
-    joined = named.join(found, ["a", "b"], "left")
+    # Only the row itself goes through the join's shuffle; its text is taken from it and split afterwards.
+    joined = docs.select(F.struct("*").alias("row"), *_names(text, key)).join(found, ["a", "b"], "left")
+    joined = joined.select("row", "lines", F.col(f"row.`{text}`").alias("t"), F.split(F.col(f"row.`{text}`"), "\n").alias("all"))
     rest = F.array_join(F.filter("all", lambda _, i: ~F.array_contains(F.col("lines"), i)), "\n")
     joined = joined.withColumn("rest", F.when(F.col("lines").isNotNull(), rest))
     joined = joined.withColumn("whole", F.col("rest").isNull() | F.rlike("rest", F.lit(BLANK)))
