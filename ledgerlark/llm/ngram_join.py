@@ -39,7 +39,7 @@ from .common import in_bitmap, prepare, slot_bitmap, small_batches, sorted_group
 from .graph import components
 from .shingles import mix, shingle_set
 
-#: Followers that a leader asks at once; shingles, and nodes, that a block of the last search holds.
+#: Followers that a leader asks at once; shingles that they hold together, and that a block of the last search does; nodes of such a block.
 FOLLOWERS, SEARCHED, MEMBERS = 1_000, 1_000_000, 1_000
 #: Sets from which on their inverted lists are merged and probed as arrays.
 ARRAYS = 48
@@ -292,7 +292,7 @@ def _posted(read: DataFrame) -> DataFrame:
 
 
 def _wanted_sets(scan: DataFrame, read: DataFrame, posted: DataFrame, words: int) -> DataFrame:
-    """h, s: the sets of the nodes on lists, computed again from one document each."""
+    """h, n, s: the sets of the nodes on lists, and their sizes, computed again from one document each."""
     wanted = spool(posted.select("h").distinct())
     one = spool(read.filter("size(posts) > 0").select("h", "row").join(wanted, "h").groupBy("h").agg(F.min("row").alias("row")))
     held = scan.sparkSession.sparkContext.broadcast(slot_bitmap(one, "row"))
@@ -309,11 +309,11 @@ def _wanted_sets(scan: DataFrame, read: DataFrame, posted: DataFrame, words: int
                 found = shingle_set(t, words)
                 if len(found) and (h := _short(_node(found))) not in seen:
                     seen.add(h)
-                    rows.append((h, found.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["h", "s"])
+                    rows.append((h, len(found), found.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["h", "n", "s"])
 
     # The bitmap spares the other texts; the join decides.
-    return spool(scan.filter(maybe("row")).select("t").mapInPandas(run, "h long, s array<long>").join(wanted, "h").dropDuplicates(["h"]))
+    return spool(scan.filter(maybe("row")).select("t").mapInPandas(run, "h long, n long, s array<long>").join(wanted, "h").dropDuplicates(["h"]))
 
 
 def _led(posted: DataFrame) -> DataFrame:
@@ -325,10 +325,12 @@ def _led(posted: DataFrame) -> DataFrame:
 
 def _star(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links u, v between leaders and their followers."""
-    parts = spool(pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(FOLLOWERS)).cast("int").alias("parts")))
-    dealt = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "h")
-    asked = dealt.join(sets, "h").withColumn("follows", F.lit(True))
-    asking = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("h"), F.lit(False).alias("follows")).join(sets, "h")
+    sized = spool(pairs.join(sets.select("h", "n"), "h"))
+    most = F.greatest(F.count(F.lit(1)) / F.lit(FOLLOWERS), F.sum("n") / F.lit(SEARCHED))
+    parts = spool(sized.groupBy("leader").agg(F.ceil(most).cast("int").alias("parts")))
+    dealt = sized.join(parts, "leader").select("leader", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "h")
+    asked = dealt.join(sets.select("h", "s"), "h").withColumn("follows", F.lit(True))
+    asking = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("h"), F.lit(False).alias("follows")).join(sets.select("h", "s"), "h")
     keys = ["leader", "part"]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,7 +358,7 @@ def _rest(posted: DataFrame, group: DataFrame, sets: DataFrame, num: int, den: i
     bunch = components(open_.select(F.col("component").alias("u"), F.col("a").alias("v")))
     bunch = spool(bunch.select(F.col("component").alias("bunch"), F.col("node").alias("component")))
     open_ = open_.select("h", "component").distinct()
-    members = spool(open_.join(bunch, "component").join(sets.select("h", F.size("s").alias("n")), "h"))
+    members = spool(open_.join(bunch, "component").join(sets.select("h", "n"), "h"))
     by = members.groupBy("bunch", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
     sizes = spool(by.groupBy("bunch").agg(F.max(F.struct("c", "component")).alias("main"), F.ceil(F.greatest(F.sum("n") / F.lit(SEARCHED), F.sum("c") / F.lit(MEMBERS))).cast("int").alias("parts")).select("bunch", F.col("main.component").alias("main"), "parts"))
     dealt = members.join(sizes, "bunch").withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
@@ -371,7 +373,7 @@ def _rest(posted: DataFrame, group: DataFrame, sets: DataFrame, num: int, den: i
             found += search([_set(x) for x in g["s"]], g["h"].tolist(), g["component"].tolist(), num, den, int(g["guest"].sum()))
         yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    rows = dealt.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys, "guest", "h")
+    rows = dealt.join(sets.select("h", "s"), "h").repartition(*keys).sortWithinPartitions(*keys, "guest", "h")
     return spool(rows.select("bunch", "part", "h", "component", "guest", "s").mapInPandas(look, "u long, v long"))
 
 
