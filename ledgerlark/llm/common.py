@@ -29,15 +29,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Within this, rows go to Python in smaller batches: for jobs that run inside it and whose rows grow in Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
+    """Within this, rows go to Python in smaller batches, of so many rows and bytes: for jobs that run inside it and whose rows grow in Python."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
