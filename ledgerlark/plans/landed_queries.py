@@ -10,6 +10,7 @@ from ..functions import forms, numbers, text
 from ..operators import fetching, messages
 from ..operators import queues as Q
 from ..operators import series as S
+from ..operators.intervals import inside
 from ..sources import landing, readers, schemas, sinks
 from ..sources.dimensions import values_sql
 from ..sources.domain import base, view, with_views
@@ -60,7 +61,7 @@ def recession_file(spark, sf_dir):
     at = _landed(spark, [json.dumps({"recessions": [{"start": a, "end": b, "label": x} for a, b, x in _SLUMPS]})])
     spans = readers.recessions(spark, at)
     points = view(spark, sf_dir, "monthly")
-    return points.join(spans, (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end"))).select("series", F.col("date").cast("string").alias("date"), "label")
+    return inside(points, spans, how="inner").select("series", F.col("date").cast("string").alias("date"), "label")
 
 
 @query("SELECT * FROM (VALUES ('_here.json', false), ('missing.json', false), ('found', true)) v(name, present)")
