@@ -15,6 +15,8 @@ from .common import slot_of, spool, table
 
 #: Slots of the prefilter. The broadcast of occupied slots holds at most so many ints, whatever the input's size.
 SLOTS = 1 << 18
+#: Rows with one id and one text that a task gives back at once.
+LOT = 1 << 16
 
 
 def normalized(text):
@@ -46,7 +48,12 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         .filter((F.col("classes") == 1) | F.assert_true(F.col("classes") == 1, "two texts share MD5 and SHA-256").isNotNull())
         .drop("classes")
     )
-    rows = marks.join(classes, ["h", "sha"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # Rows that agree in id and text come back in lots; more than one lot of them is dealt out over tasks.
+    lot = F.col("copies") <= LOT
+    few = marks.filter(lot).withColumn("first", F.lit(0).cast("long")).join(classes, ["h", "sha"], "left")
+    many = marks.filter(~lot).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(LOT).cast("long")))).join(classes, ["h", "sha"], "left")
+    dealt = few.unionByName(many.repartition("h", "sha", "id", "first"))
+    rows = dealt.withColumn("copy", F.explode(F.sequence(F.col("first") + 1, F.least(F.col("first") + LOT, F.col("copies")))))
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("id")).otherwise(F.col("keep_id"))
     return rows.select(

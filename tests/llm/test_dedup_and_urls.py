@@ -21,6 +21,15 @@ def test_blanks(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
+def test_many_rows_with_one_id_and_text(spark, monkeypatch):
+    monkeypatch.setattr(E, "LOT", 3)
+    rows = [(None, "a")] * 10 + [(4, "a")] * 3 + [(5, "a")] * 4 + [(6, "b")] * 7 + [(7, "c")]
+    got = E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    seen = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()), key=repr)
+    want = [(None, 4, 17, False)] * 10 + [(4, 4, 17, i == 0) for i in range(3)] + [(5, 4, 17, False)] * 4 + [(6, 6, 7, i == 0) for i in range(7)] + [(7, 7, 1, True)]
+    assert seen == sorted(want, key=repr)
+
+
 def test_urls(spark):
     rows = [
         (1, "HTTP://WWW.Example.ORG/en/148?x#y"), (2, "https://example.org/es/"), (3, "https://notexample.org/es/x"), (4, "https://a.com/fr/"), (5, "https://a.com/FR/"), (6, "https://a.com"), (7, None),

@@ -28,6 +28,11 @@ def test_automaton_against_greedy_matching():
         assert token_count.Automaton(sorted(pieces)).count(word) == greedy(word, pieces)
 
 
+def test_no_documents_no_counts(spark, odd):
+    got = token_count.token_counts(odd.limit(0), ["▁", "a"])
+    assert got.collect() == [] and got.columns == ["doc_id", "n_words", "n_tokens", "n_unknown"]
+
+
 def test_token_counts(spark, odd):
     got = {(r["doc_id"], r["n_words"], r["n_tokens"], r["n_unknown"]) for r in token_count.token_counts(odd, ["▁he", "l", "o", "▁", "a", "x" * 3, "x"]).collect()}
     assert {(2, 6, 10, 4), (1, 0, 0, 0), (None, 0, 0, 0), (8, 0, 0, 0)} <= got
