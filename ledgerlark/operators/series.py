@@ -91,6 +91,15 @@ def overlay(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return inside(points, intervals).drop("start", "end")
 
 
+def linked(charts: DataFrame, custom: Sequence[str], tickers: Sequence[str]) -> DataFrame:
+    """charts with source_name, source_url and footer: own research has no link, tickers and economic series have their sites'. The footer credits own research to the economic series' source too."""
+    c, own, ticker = F.col("chart"), F.col("chart").isin(*custom), F.col("chart").isin(*tickers)
+    fred, yahoo = F.lit("Federal Reserve Economic Data (FRED)"), F.lit("Yahoo Finance")
+    link = F.when(own, None).when(ticker, F.concat(F.lit("https://finance.yahoo.com/quote/"), F.upper(c))).otherwise(F.concat(F.lit("https://fred.stlouisfed.org/series/"), F.upper(c)))
+    name = F.when(own, "Custom Research").when(ticker, yahoo).otherwise(fred)
+    return charts.select("*", name.alias("source_name"), link.alias("source_url"), F.when(ticker, yahoo).otherwise(fred).alias("footer"))
+
+
 def chart_pages(points: DataFrame, charts: DataFrame, first_day: str, exempt: Sequence[str] = (), from_zero: Sequence[str] = ()) -> DataFrame:
     """A row for each chart with points: the dimension's columns, from_zero, the summary's, and points (date, label, value, scaled) by date.
 

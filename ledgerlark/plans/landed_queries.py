@@ -42,16 +42,6 @@ def manifest_file(spark, sf_dir):
     return spark.read.schema(schemas.MANIFEST).json(at).select("series_count", F.explode("series").alias("series", "n"))
 
 
-_FEEDS = (("one", "http://a/1", True), ("two", "http://a/2", False), ("three", "http://a/3", None))
-
-
-@query("SELECT * FROM (VALUES ('one', 'http://a/1'), ('three', 'http://a/3')) v(name, url)")
-def config_file(spark, sf_dir):
-    """The feeds of a landed configuration that aren't switched off."""
-    document = {"rss_feeds": [{"name": n, "url": u} | ({} if e is None else {"enabled": e}) for n, u, e in _FEEDS]}
-    return readers.enabled_feeds(readers.config(spark, _landed(spark, json.dumps(document, indent=2).split("\n"))))
-
-
 _SLUMPS = (("1993-02-01", "1993-08-31", "one"), ("1996-01-01", "1996-03-01", "two"))
 
 
@@ -64,16 +54,6 @@ def recession_file(spark, sf_dir):
     return inside(points, spans, how="inner").select("series", F.col("date").cast("string").alias("date"), "label")
 
 
-@query("SELECT * FROM (VALUES ('_here.json', false), ('missing.json', false), ('found', true)) v(name, present)")
-def required_files(spark, sf_dir):
-    """Which of the required files a folder holds."""
-    at = landing.folder(spark)
-    spark.createDataFrame([("x",)], "value string").coalesce(1).write.text(f"{at}/data")
-    found = spark.read.format("binaryFile").load(f"{at}/data").select(F.element_at(F.split("path", "/"), -1).alias("n")).collect()[0]["n"]  # one file
-    present = readers.present_files(spark, at, ["_here.json", "missing.json", found])
-    return present.select(F.when(F.col("name") == found, "found").otherwise(F.col("name")).alias("name"), "present")
-
-
 _PAYLOADS = """to_json(named_struct('message', named_struct(
   'text', CASE page_id % 4 WHEN 3 THEN '/status' WHEN 2 THEN 'nothing here' ELSE concat('see ', url, ' or a.co/x') END,
   'caption', CASE WHEN page_id % 4 < 2 THEN concat(url, CASE WHEN page_id % 4 = 0 THEN repeat(concat(' https://b.co/', CAST(page_id AS STRING)), 4) ELSE '' END) END,
@@ -199,30 +179,6 @@ def merged_options(spark, sf_dir):
     return both.select("event_id", F.array_join(F.array_sort(F.transform(F.map_entries("o"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("options"))
 
 
-_SHEET = (("First", "https://a.co/1", "2024-01-02", "one"), ("Again", "https://a.co/1", None, None), ("Known", "https://a.co/2", "2024-01-03", ""), (None, "https://a.co/3", None, None), ("No URL", None, None, None), ("Last", "https://a.co/4", None, "four"))
-
-
-@query("SELECT 2 AS imported, 2 AS skipped")
-def import_articles(spark, sf_dir):
-    """Rows of a workbook's sheet, which is passed in as a frame, counted against the stored ones."""
-    import pandas as pd
-
-    sheet = lambda path, **_: pd.DataFrame(_SHEET, columns=["Title", "URL", "Date Created", "Summary"])
-    rows = readers.workbook_articles(spark, "articles.xlsx", sheet_of=sheet)
-    split = Q.split_batch(rows, spark.createDataFrame([("https://a.co/2",)], "url string"), "url", F.desc("title"))
-    return split.agg(F.count_if("is_new").alias("imported"), F.count_if(~F.col("is_new")).alias("skipped"))
-
-
-@query("SELECT * FROM (VALUES ('equity', '2020-12-31', 10.0), ('debt', '2020-12-31', 3.0), ('equity', '2021-12-31', 11.0), ('debt', '2021-12-31', 4.0)) v(series, date, value)")
-def workbook_figures(spark, sf_dir):
-    """A fixed range of a sheet, which is passed in as a frame; figures lose their fractions."""
-    import pandas as pd
-
-    sheet = lambda path, **_: pd.DataFrame([["x", None, None], ["years", "e", "d"], [2020, 10.9, 3.2], [2021, 11.0, 4.7], [2022, 1, 1]])
-    wide = readers.workbook_range(spark, "figures.xlsx", "Sheet3", (2, 3), 0, {"equity": 1, "debt": 2}, sheet_of=sheet)
-    return readers.unpivoted(wide, ["equity", "debt"]).withColumn("date", F.col("date").cast("string"))
-
-
 @query(with_views("SELECT count(*) AS total_items FROM (SELECT id FROM raw_items WHERE id IN (SELECT item_id FROM article_content WHERE scrape_success) AND id NOT IN (SELECT item_id FROM master_list) AND id NOT IN (SELECT item_id FROM rejected_items) LIMIT 50) x", "raw_items", "article_content", "master_list", "rejected_items"))
 def page_total(spark, sf_dir):
     """A page's total counts what the page holds, after its limit."""
@@ -230,14 +186,6 @@ def page_total(spark, sf_dir):
     return Q.newest(Q.triage(raw, art, mas, rej), 50).agg(F.count(F.lit(1)).alias("total_items"))
 
 
-@query("SELECT * FROM (VALUES ('raw_items', true, false, 10), ('article_content', true, false, 7), ('ai_extractions', true, false, 21), ('master_list', true, false, 19), ('rejected_items', true, false, 4)) v(name, first, again, columns)")
-def created_tables(spark, sf_dir):
-    """Tables are created where they are missing, and once."""
-    at = landing.folder(spark)
-    made = [(n, sinks.created(spark, at, n, s), sinks.created(spark, at, n, s), len(readers.curation_table(spark, at, n).columns)) for n, s in schemas.TABLES.items()]
-    return spark.createDataFrame(made, "name string, first boolean, again boolean, columns int")
-
-
 def _service(name: str) -> str:
     """A stand-in for a service: one series fails, one has no points."""
     if name == "3":

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import html, text
 from ..operators import intervals, numbering, search
-from ..operators import queues as Q
 from ..operators import series as S
 from ..sources import dimensions as D
 from ..sources import landing, readers, schemas
@@ -94,33 +91,44 @@ _CHARTS = D.values_sql("c", "ord, chart, category", [(i, *c[:2]) for i, c in enu
 _OWN, _QUOTED = ("'" + "', '".join(x) + "'" for x in (D.CUSTOM, D.TICKERS))
 
 
-@query(f"""
-WITH {_CHARTS}, s AS (SELECT s_suppkey, chart FROM supplier JOIN c ON c.ord = s_suppkey % {len(D.CHARTS)})
+def _given(spark, sf_dir):
+    """s_suppkey, chart: the chart that each supplier is given."""
+    names = F.array(*[F.lit(c[0]) for c in D.CHARTS])
+    return base(spark, sf_dir, "supplier").select("s_suppkey", F.get(names, (F.col("s_suppkey") % len(D.CHARTS)).cast("int")).alias("chart"))
+
+
+_GIVEN = f"WITH {_CHARTS}, s AS (SELECT s_suppkey, chart FROM supplier JOIN c ON c.ord = s_suppkey % {len(D.CHARTS)})"
+
+
+@query(f"""{_GIVEN}
 SELECT s_suppkey, chart, CASE WHEN chart IN ({_OWN}) THEN 'Custom Research' WHEN chart IN ({_QUOTED}) THEN 'Yahoo Finance' ELSE 'Federal Reserve Economic Data (FRED)' END AS source_name,
        CASE WHEN chart IN ({_OWN}) THEN NULL WHEN chart IN ({_QUOTED}) THEN concat('https://finance.yahoo.com/quote/', upper(chart)) ELSE concat('https://fred.stlouisfed.org/series/', upper(chart)) END AS source_url,
-       chart IN ({"'" + "', '".join(D.FROM_ZERO) + "'"}) AS from_zero
+       CASE WHEN chart IN ({_QUOTED}) THEN 'Yahoo Finance' ELSE 'Federal Reserve Economic Data (FRED)' END AS footer
 FROM s""")
-def supplier_charts(spark, sf_dir):
-    """The source, its link and the axis' start of a chart, for the chart that each supplier is given."""
-    from .series_queries import linked
+def source_links(spark, sf_dir):
+    """Where a chart's data come from, for the chart that each supplier is given."""
+    return S.linked(_given(spark, sf_dir), D.CUSTOM, D.TICKERS).select("s_suppkey", "chart", "source_name", "source_url", "footer")
 
-    names = F.array(*[F.lit(c[0]) for c in D.CHARTS])
-    given = base(spark, sf_dir, "supplier").select("s_suppkey", F.get(names, (F.col("s_suppkey") % len(D.CHARTS)).cast("int")).alias("chart"))
-    return linked(given).select("s_suppkey", "chart", "source_name", "source_url", F.col("chart").isin(*D.FROM_ZERO).alias("from_zero"))
+
+@query(f"""{_GIVEN}
+SELECT s_suppkey, chart, chart IN ({"'" + "', '".join(D.FROM_ZERO) + "'"}) AS from_zero FROM s""")
+def begin_at_zero_flags(spark, sf_dir):
+    """Whether the axis begins at zero, for the chart that each supplier is given."""
+    return _given(spark, sf_dir).select("s_suppkey", "chart", F.col("chart").isin(*D.FROM_ZERO).alias("from_zero"))
 
 
 @query("""
 WITH c AS (SELECT s_suppkey AS chart, s_nationkey AS category, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS ord FROM supplier),
 x AS (SELECT a.chart, b.chart AS related, row_number() OVER (PARTITION BY a.chart ORDER BY b.ord) AS pos FROM c a JOIN c b ON a.category = b.category AND a.chart <> b.chart)
 SELECT chart, CAST(pos AS INTEGER) AS pos, related FROM x WHERE pos <= 3""")
-def related_suppliers(spark, sf_dir):
+def related_charts(spark, sf_dir):
     """Of each supplier, the first three others of its nation by balance."""
     rows = base(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chart"), F.col("s_nationkey").alias("category"), F.struct((-F.col("s_acctbal")).alias("b"), "s_suppkey").alias("ord"))
     return S.related(rows)
 
 
 @query("SELECT n_name AS name, concat('http://', lower(n_name), '/feed') AS url FROM nation WHERE n_nationkey % 3 <> 1")
-def configured_feeds(spark, sf_dir):
+def config_file(spark, sf_dir):
     """Landed configurations, one for each region; feeds that aren't switched off, of which some don't say."""
     nation, at = base(spark, sf_dir, "nation"), landing.folder(spark)
     on = F.when(F.col("n_nationkey") % 3 == 1, False).when(F.col("n_nationkey") % 3 == 2, True)
@@ -129,8 +137,18 @@ def configured_feeds(spark, sf_dir):
     return readers.enabled_feeds(readers.config(spark, at))
 
 
+@query("SELECT s_name AS name, concat('http://x/', s_suppkey) AS url FROM supplier WHERE s_suppkey % 4 <> 1")
+def enabled_feeds(spark, sf_dir):
+    """Configurations in a column, one for each supplier's nation; a feed that doesn't say is on."""
+    suppliers = base(spark, sf_dir, "supplier")
+    on = F.when(F.col("s_suppkey") % 4 == 1, False).when(F.col("s_suppkey") % 4 == 2, True)
+    one = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("http://x/"), F.col("s_suppkey").cast("string")).alias("url"), on.alias("enabled"))
+    documents = suppliers.groupBy("s_nationkey").agg(F.collect_list(one).alias("rss_feeds")).select(F.to_json(F.struct("rss_feeds")).alias("c"))
+    return readers.enabled_feeds(documents.select(F.from_json("c", schemas.CONFIG).alias("c")).select("c.*"))
+
+
 @query("SELECT n_name AS name, n_nationkey % 5 <> 0 AS present FROM nation")
-def landed_nations(spark, sf_dir):
+def required_files(spark, sf_dir):
     """Which of the required files, one for each nation, a folder holds."""
     nation, at = base(spark, sf_dir, "nation").select("n_name", "n_nationkey"), landing.folder(spark)
     nation.filter("n_nationkey % 5 <> 0").select(F.lit("{}").alias("value"), F.col("n_name").alias("series")).write.partitionBy("series").text(at)
@@ -141,7 +159,7 @@ _SAID = "CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRIN
 
 
 @query(f"SELECT o_orderkey, strftime(coalesce(TRY_CAST({_SAID} AS TIMESTAMP), TIMESTAMP '2024-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS shown, strftime(make_date(year(o_orderdate), 12, 31), '%Y-%m-%d') AS year_end FROM orders")
-def order_dates(spark, sf_dir):
+def lenient_dates(spark, sf_dir):
     """Dates of orders as texts, of which some can't be read and count as the clock's time, which is passed in."""
     rows = base(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.expr(_SAID).alias("said"))
     at = F.coalesce(F.try_to_timestamp("said"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
@@ -149,7 +167,7 @@ def order_dates(spark, sf_dir):
 
 
 @query("SELECT page_id, CASE page_id % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE url END AS target FROM pages WHERE url NOT LIKE '%\"%' AND url NOT LIKE '%''%' AND url NOT LIKE '% %' AND url NOT LIKE '%>%'")
-def forwarding_pages(spark, sf_dir):
+def meta_refresh_target(spark, sf_dir):
     """The targets of pages that forward, their header in quotes of either kind or in none, in either order, and of pages that don't."""
     heads = [
         ('<meta http-equiv="refresh" content="0; url=', '">'),

@@ -26,15 +26,6 @@ def _named(spark, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "monthly").replace(dict(NAMES), subset=["series"])
 
 
-def linked(charts: DataFrame) -> DataFrame:
-    """charts with source_name, source_url and footer."""
-    c, custom, ticker = F.col("chart"), F.col("chart").isin(*D.CUSTOM), F.col("chart").isin(*D.TICKERS)
-    fred, yahoo = F.lit("Federal Reserve Economic Data (FRED)"), F.lit("Yahoo Finance")
-    link = F.when(custom, None).when(ticker, F.concat(F.lit("https://finance.yahoo.com/quote/"), F.upper(c))).otherwise(F.concat(F.lit("https://fred.stlouisfed.org/series/"), F.upper(c)))
-    name = F.when(custom, "Custom Research").when(ticker, yahoo).otherwise(fred)
-    return charts.select("*", name.alias("source_name"), link.alias("source_url"), F.when(ticker, yahoo).otherwise(fred).alias("footer"))
-
-
 def _summary_sql(points: str) -> str:
     return with_views(f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC, value DESC) AS rn, count(*) OVER (PARTITION BY series) AS n FROM {points}),
@@ -124,14 +115,6 @@ def axis_scaled(spark, sf_dir):
     return _text(S.scaled(points, formats), "date")
 
 
-@query(f"""
-WITH {D.values_sql('c', 'chart', [(c[0],) for c in D.CHARTS])}
-SELECT chart, chart IN ('public_defense_companies', 'vc_defense', 'ma_defense', 'dgorder', 'fdefx', 'pnfi', 'gpdi', 'prmfgcons', 'adefno', 'adapno') AS from_zero FROM c""")
-def begin_at_zero_flags(spark, sf_dir):
-    """N12, C13."""
-    return D.charts(spark).select("chart", F.col("chart").isin(*D.FROM_ZERO).alias("from_zero"))
-
-
 @query(f"SELECT series, CASE WHEN period_change_pct > 0 THEN 'positive' WHEN period_change_pct < 0 THEN 'negative' WHEN period_change_pct = 0 THEN 'neutral' END AS period_class, CASE WHEN year_change_pct > 0 THEN 'positive' WHEN year_change_pct < 0 THEN 'negative' WHEN year_change_pct = 0 THEN 'neutral' END AS year_class FROM ({_summary_sql('daily')}) x")
 def change_sign_class(spark, sf_dir):
     """L6, F3."""
@@ -156,26 +139,6 @@ def series_align(spark, sf_dir):
     return _text(S.aligned(view(spark, sf_dir, "monthly"), ["F", "O", "P"]), "date")
 
 
-@query(f"""
-WITH {D.values_sql('c', 'ord, chart, category', [(i, *c[:2]) for i, c in enumerate(D.CHARTS)])},
-x AS (SELECT a.chart, b.chart AS related, row_number() OVER (PARTITION BY a.chart ORDER BY b.ord) AS pos FROM c a JOIN c b ON a.category = b.category AND a.chart <> b.chart)
-SELECT chart, CAST(pos AS INTEGER) AS pos, related FROM x WHERE pos <= 3""")
-def related_charts(spark, sf_dir):
-    """D14, G9."""
-    return S.related(D.charts(spark))
-
-
-@query(f"""
-WITH {D.values_sql('c', 'chart', [(c[0],) for c in D.CHARTS])}
-SELECT chart, CASE WHEN chart IN ('vc_defense', 'ma_defense', 'public_defense_companies') THEN 'Custom Research' WHEN chart IN ('ita', 'xli', 'pld') THEN 'Yahoo Finance' ELSE 'Federal Reserve Economic Data (FRED)' END AS source_name,
-       CASE WHEN chart IN ('vc_defense', 'ma_defense', 'public_defense_companies') THEN NULL WHEN chart IN ('ita', 'xli', 'pld') THEN 'https://finance.yahoo.com/quote/' || upper(chart) ELSE 'https://fred.stlouisfed.org/series/' || upper(chart) END AS source_url,
-       CASE WHEN chart IN ('ita', 'xli', 'pld') THEN 'Yahoo Finance' ELSE 'Federal Reserve Economic Data (FRED)' END AS footer
-FROM c""")
-def source_links(spark, sf_dir):
-    """Where a chart's data come from. The footer credits own research to the economic series' source too."""
-    return linked(D.charts(spark)).select("chart", "source_name", "source_url", "footer")
-
-
 @query("""
 WITH w AS (SELECT year(o_orderdate) AS y, o_orderstatus AS series, CAST(trunc(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE)) AS DOUBLE) AS value FROM orders GROUP BY 1, 2)
 SELECT series, CAST(make_date(y, 12, 31) AS VARCHAR) AS date, value FROM w""")

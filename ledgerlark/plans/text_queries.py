@@ -10,7 +10,6 @@ from ..functions import html, rules, text, tokens, urls
 from ..functions.columns import parts
 from ..operators import extraction
 from ..sources import readers
-from ..sources.dimensions import values_sql
 from ..sources.domain import base, view, with_views
 from .base import query
 from .queue_queries import label_sql
@@ -50,15 +49,6 @@ def clean_html(spark, sf_dir):
     return base(spark, sf_dir, "pages").select("page_id", html.clean_html("html").alias("clean_text")).withColumn("text_length", F.length("clean_text").cast("long"))
 
 
-_REFRESH = (("0; url=https://a.co/x", "https://a.co/x"), ("5;URL=https://a.co/x", None), ("0;url=a url=b", "a "), ("url=", ""), (None, None))
-
-
-@query("WITH " + values_sql("v", "content, target", _REFRESH) + " SELECT content, target FROM v")
-def meta_refresh_target(spark, sf_dir):
-    """I12, on hand-made headers."""
-    return spark.createDataFrame([(a,) for a, _ in _REFRESH], "content string").select("content", text.refresh_target("content").alias("target"))
-
-
 @query(r"""
 SELECT page_id, array_to_string(regexp_extract_all(concat(url, ' ', html), '(?i)https?://(?:[-\w.]|(?:%[\da-f]{2}))+[^\s]*'), ' ') AS links FROM pages""")
 def extract_urls(spark, sf_dir):
@@ -195,29 +185,6 @@ def command_routing(spark, sf_dir):
     return base(spark, sf_dir, "conversations").select("conv_id", "turn", rules.command(F.expr(_TURN)).alias("command"))
 
 
-_FEEDS = (("one", "http://a/1", True), ("two", "http://a/2", False), ("three", "http://a/3", None))
-
-
-@query("SELECT * FROM (VALUES ('one', 'http://a/1'), ('three', 'http://a/3')) v(name, url)")
-def enabled_feeds(spark, sf_dir):
-    """A feed that doesn't say is on."""
-    from ..sources.schemas import CONFIG
-
-    document = json.dumps({"rss_feeds": [{"name": n, "url": u} | ({} if e is None else {"enabled": e}) for n, u, e in _FEEDS]})
-    return readers.enabled_feeds(spark.createDataFrame([(document,)], "c string").select(F.from_json("c", CONFIG).alias("c")).select("c.*"))
-
-
-_DATES = ((1, "2024-05-06"), (2, "2024-05-06 07:08:09"), (3, "soon"), (4, None))
-
-
-@query("WITH " + values_sql("v", "id, said", _DATES) + " SELECT id, strftime(coalesce(TRY_CAST(said AS TIMESTAMP), TIMESTAMP '2024-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS shown, strftime(make_date(2020 + id, 12, 31), '%Y-%m-%d') AS year_end FROM v")
-def lenient_dates(spark, sf_dir):
-    """What can't be read is the clock's time, which is passed in."""
-    v = spark.createDataFrame(list(_DATES), "id int, said string")
-    at = F.coalesce(F.try_to_timestamp("said"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return v.select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("shown"), F.date_format(F.make_date(F.lit(2020) + F.col("id"), F.lit(12), F.lit(31)), "yyyy-MM-dd").alias("year_end"))
-
-
 _NOW, _SECRET = 1_700_100_000, "test-secret"
 
 

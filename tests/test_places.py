@@ -11,6 +11,7 @@ from ledgerlark.operators import numbering as N
 from ledgerlark.operators import queues as Q
 from ledgerlark.operators import search
 from ledgerlark.operators import series as S
+from ledgerlark.sources import readers, schemas
 
 
 def plan(df):
@@ -137,3 +138,12 @@ def test_refresh_headers(spark):
     ]
     got = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(heads)], "i long, h string").select("i", html.refresh_content("h").alias("c")).orderBy("i").collect()
     assert [r["c"] for r in got] == [c for _, c in heads]
+    said = (("0; url=https://a.co/x", "https://a.co/x"), ("5;URL=https://a.co/x", None), ("0;url=a url=b", "a "), ("url=", ""), (None, None))
+    targets = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(said)], "i long, c string").select("i", text.refresh_target("c").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in targets] == [t for _, t in said]
+
+
+def test_enabled_feeds(spark):
+    document = '{"rss_feeds": [{"name": "one", "url": "u1", "enabled": true}, {"name": "two", "url": "u2", "enabled": false}, {"name": "three", "url": "u3"}]}'
+    configs = spark.createDataFrame([(document,), ("{}",), ("broken",)], "c string").select(F.from_json("c", schemas.CONFIG).alias("c")).select("c.*")
+    assert sorted(tuple(r) for r in readers.enabled_feeds(configs).collect()) == [("one", "u1"), ("three", "u3")]
