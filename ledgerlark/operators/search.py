@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +20,25 @@ from ..sources import landing
 RAREST = 4
 #: Terms searched for at once; they and their trigrams are literals of the plan.
 MOST_TERMS = 1000
-#: Folders of an index, by the trigram's hash.
-_PARTS = 64
+#: Folders of an index, by the trigram's hash, and parts that a trigram's rows are dealt to by their keys, so that one that all texts hold is no hot task.
+_PARTS, _LOTS = 64, 16
 
 
 def _part(gram: str):
     return F.pmod(F.xxhash64(gram), F.lit(_PARTS)).cast("int")
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def grams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text, as numbers: three code points of 21 bits."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]) if len(c) > 2 else c[:0]
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ids, grams = [], []
-        for k, t in zip(b["id"], b["text"], strict=True):
-            own = {t[i : i + 3] for i in range(len(t) - 2)}
-            ids += [k] * len(own)
-            grams += own
-        yield pd.DataFrame({"gram": grams, "id": ids})
+        found = [grams(t) for t in b["text"]]
+        if found:
+            yield pd.DataFrame({"gram": np.concatenate(found), "id": np.repeat(b["id"].to_numpy(np.int64), [len(x) for x in found])})
 
 
 def searched(rows: DataFrame, *columns: str):
@@ -44,22 +48,23 @@ def searched(rows: DataFrame, *columns: str):
 def write_index(rows: DataFrame, key: str, columns: Sequence[str], directory: str) -> None:
     """Writes the lists of rows' trigrams, sorted by trigram, so that a look-up reads a part of a few files. key: a whole number; rows without one aren't found."""
     texts = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), searched(rows, *columns).alias("text"))
-    lists = texts.mapInPandas(_grams, "gram string, id long").withColumn("part", _part("gram"))
-    lists.repartitionByRange("part", "gram", "id").sortWithinPartitions("part", "gram", "id").write.partitionBy("part").parquet(directory)
+    lists = texts.mapInPandas(_listed, "gram long, id long").withColumns({"part": _part("gram"), "lot": F.pmod(F.xxhash64("id"), F.lit(_LOTS))})
+    lists.repartition("part", "lot").sortWithinPartitions("part", "gram", "id").drop("lot").write.partitionBy("part").parquet(directory)
 
 
 def candidates(spark: SparkSession, directory: str, terms: Sequence[str]) -> DataFrame:
     """term, id: rows that hold the rarest trigrams of a term of three characters or more."""
     if len(terms) > MOST_TERMS:
         raise ValueError(f"at most {MOST_TERMS} terms at once")
-    wanted = {t: sorted({low[i : i + 3] for i in range(len(low) - 2)}) for t in terms for low in (t.lower(),)}
-    pairs = spark.createDataFrame([(t, g) for t, gs in wanted.items() for g in gs], "term string, gram string")
+    lowered = spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.lower("term").alias("low")).collect()  # as the texts are lowered
+    wanted = {r["term"]: grams(r["low"]).tolist() for r in lowered}
+    pairs = spark.createDataFrame([(t, g) for t, gs in wanted.items() for g in gs], "term string, gram long")
     parts = [r[0] for r in pairs.select(_part("gram")).distinct().collect()]
-    lists = spark.read.schema("gram string, id long, part int").parquet(directory).filter(F.col("part").isin(parts))
+    lists = spark.read.schema("gram long, id long, part int").parquet(directory).filter(F.col("part").isin(parts))
     held = lists.join(F.broadcast(pairs.select("gram").distinct()), "gram", "left_semi")  # bounded by MOST_TERMS
     counts = {r["gram"]: r["n"] for r in held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}
     rarest = [(t, g, min(RAREST, len(gs))) for t, gs in wanted.items() if gs and all(g in counts for g in gs) for g in sorted(gs, key=lambda g: (counts[g], g))[:RAREST]]
-    chosen = spark.createDataFrame(rarest, "term string, gram string, needed int")
+    chosen = spark.createDataFrame(rarest, "term string, gram long, needed int")
     met = held.join(F.broadcast(chosen), "gram").groupBy("term", "id", "needed").agg(F.size(F.collect_set("gram")).alias("n"))  # a key may have several rows
     return met.filter("n = needed").select("term", "id")
 
@@ -67,8 +72,8 @@ def candidates(spark: SparkSession, directory: str, terms: Sequence[str]) -> Dat
 def search(rows: DataFrame, key: str, columns: Sequence[str], directory: str, terms: Sequence[str]) -> DataFrame:
     """term and the columns of rows: each row that holds a term. directory: of write_index, over the same rows and columns."""
     spark, terms = rows.sparkSession, list(dict.fromkeys(terms))
-    long = [t for t in terms if len(t.lower()) >= 3]
-    short = [t for t in terms if len(t.lower()) < 3]
+    size = {r["term"]: r["n"] for r in spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.length(F.lower("term")).alias("n")).collect()}
+    long, short = [t for t in terms if size[t] >= 3], [t for t in terms if size[t] < 3]
     keyed = rows.filter(F.col(key).isNotNull())
     text = searched(rows, *columns)
     found = keyed.join(candidates(spark, directory, long).withColumnRenamed("id", "_id"), F.col(key).cast("long") == F.col("_id")).filter(F.contains(text, F.lower("term"))).select("term", *rows.columns)

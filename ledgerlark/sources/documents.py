@@ -13,6 +13,8 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .workers import importable
+
 SCHEMA = "source string, series string, pos int, date string, value double, open double, high double, low double, close double, volume long, error string"
 _FIGURES = ("value", "open", "high", "low", "close")
 
@@ -79,4 +81,4 @@ class SeriesDocuments(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(SeriesDocuments)
+    importable(spark).dataSource.register(SeriesDocuments)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .workers import importable
+
 #: By view: its SQL over the base tables.
 VIEWS = {
     "raw_items": """
@@ -61,7 +63,7 @@ _BASE = {"raw_items": ["documents"], "article_content": ["documents"], "ai_extra
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
