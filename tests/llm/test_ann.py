@@ -79,3 +79,15 @@ def test_repeated_ids_and_products_that_overflow(spark):
     clashing = spark.createDataFrame([(*r, 1, "x", None) for r in rows], "vec_id long, embedding array<double>, id int, curve string, cell int")
     got = ann.nearest(clashing, "vec_id % 20 = 0").toPandas()
     assert set(got["query_id"]) == {0, 20} and all(len(g) == 20 and g["vec_id"].is_unique and q not in set(g["vec_id"]) for q, g in got.groupby("query_id"))
+
+
+def test_wide_vectors(spark):
+    x = np.random.default_rng(7).standard_normal((300, 2000)).astype(np.float32)
+    got = ann.nearest(made(spark, x.tolist()), "vec_id % 50 = 0").toPandas()
+    y = x.astype(float)
+    for q, rows in got.groupby("query_id"):
+        s = y @ y[q]
+        s[q] = -np.inf
+        rows = rows.sort_values("rank")
+        assert len(rows) == 20 and (rows["score"].to_numpy() <= np.sort(s)[::-1][:20] + 1e-9).all() and np.allclose(rows["score"], s[rows["vec_id"]])
+    assert set(got["query_id"]) == {0, 50, 100, 150, 200, 250}

@@ -177,3 +177,19 @@ def test_odd_rows(spark, odd):
     assert N.near_duplicates(odd).count() == odd.count() and N.near_duplicates(odd.limit(0)).count() == 0
     kept = N.keep_one(odd)
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [None, 1, 2, 2**60 + 1, None, 7, 8]))
+
+
+def test_long_near_copies_of_one_leader_are_dealt_by_their_shingles(spark, monkeypatch):
+    """Followers whose sets together are beyond a block's shingles are asked in parts; no link is lost."""
+    monkeypatch.setattr(N, "SEARCHED", 5_000)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2_000)]
+    docs = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(i % 5):
+            words[rng.randrange(len(words))] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, " ".join(f"y{i}_{k}" for k in range(50))) for i in range(5)]
+    got = {r["id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: 0 for i in range(40)} | {100 + i: 100 + i for i in range(5)}
