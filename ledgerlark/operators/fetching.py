@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def fetched(names: DataFrame, column: str, fetch: Callable[[str], str], at_once: int = 1, pause_s: float = 0.0) -> DataFrame:
-    """column, document, error: what fetch gives for each name. at_once tasks run, and each pauses after a name."""
+    """column, document, error: what fetch gives for each name. at_once tasks run, and each pauses after a name; one by default, as a client that asks one source after another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -11,6 +11,7 @@ from ..sources import documents, landing, readers, sinks, store
 from ..sources.domain import base, view, with_views
 from ..streaming import feed
 from .base import query
+from .landed_queries import _PAYLOADS, _TAKEN
 
 
 @query("SELECT url, min(page_id % 3) AS slice FROM pages WHERE url <> '' GROUP BY url")
@@ -31,6 +32,21 @@ def incremental_intake(spark, sf_dir):
     return store.stored(spark, table)
 
 
+@query(f"""
+WITH t AS ({_TAKEN}), r AS (SELECT chat_id, unnest(links) AS url FROM t WHERE command = 'links')
+SELECT url, coalesce(min(chat_id) FILTER (chat_id % 2 = 0), min(chat_id)) AS chat_id FROM r GROUP BY url""")
+def streamed_updates(spark, sf_dir):
+    """Chat updates land as lines in two lots, and a third time the first; a stream takes in the links of allowed users, once per URL."""
+    at = landing.folder(spark)
+    table = store.Table(f"{at}/table", "url string, chat_id long", "url", 8)
+    lines = base(spark, sf_dir, "pages").select((F.col("page_id") % 2).alias("lot"), F.expr(_PAYLOADS).alias("value"))
+    for lots in ((0,), (1, 0)):
+        for lot in lots:
+            lines.filter(F.col("lot") == lot).select("value").write.text(f"{at}/landed/{len(lots)}-{lot}")
+        feed.intake_updates(spark, f"{at}/landed/*", table, f"{at}/checkpoint", "0,1,3,4")
+    return store.stored(spark, table)
+
+
 @query(with_views("""
 SELECT s.source, CASE WHEN s.source IN ('O', 'X') THEN 0 ELSE (SELECT count(*) FROM monthly m WHERE m.series = s.source) END AS n,
        CASE s.source WHEN 'O' THEN 'malformed document' WHEN 'X' THEN 'no document' WHEN 'E' THEN 'no data' END AS error

@@ -45,6 +45,11 @@ def earliest(entries: DataFrame, delay: str = "7 days", of: str = "slice") -> Da
     return entries.withWatermark("landed", delay).groupBy(F.window("landed", delay), "url").agg(F.min(of).alias(of)).select("url", of)
 
 
+def _mark(batch: DataFrame, checkpoint: str, number: int) -> str:
+    """What names a batch: the checkpoint's id, which is kept in it, and the batch's number."""
+    return f"{batch.sparkSession.read.schema('id string').json(f'{checkpoint}/metadata').first()['id']}-{number}"
+
+
 def intake(spark: SparkSession, source: str, table: store.Table, checkpoint: str):
     """Takes in all entries (of SLICED) that are landed now and returns the finished query. A URL enters the table once, with the slice that brought it first.
 
@@ -53,9 +58,7 @@ def intake(spark: SparkSession, source: str, table: store.Table, checkpoint: str
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        mark = f"{session.read.schema('id string').json(f'{checkpoint}/metadata').first()['id']}-{number}"
-        if not store.insert(session, table, batch.filter("url <> ''"), order=("slice",), mark=mark):
+        if not store.insert(batch.sparkSession, table, batch.filter("url <> ''"), order=("slice",), mark=_mark(batch, checkpoint, number)):
             batch.write.format("noop").mode("overwrite").save()  # the state of a void batch is committed all the same
 
     entries = spark.readStream.schema(SLICED).json(source)
@@ -85,3 +88,16 @@ def run_updates(spark: SparkSession, source: str, table: str, checkpoint: str, u
     query = spark.readStream.text(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def intake_updates(spark: SparkSession, source: str, table: store.Table, checkpoint: str, users: str):
+    """Takes in the links of all chat updates that are landed now, as lines of JSON, and returns the finished query. A URL enters the table (url, chat_id) once, with the least chat of the batch that brought it first."""
+    from ..operators import messages
+
+    def write(batch: DataFrame, number: int) -> None:
+        taken = messages.intake(batch, users, column="value").filter("command = 'links'")
+        store.insert(batch.sparkSession, table, taken.select(F.explode("links").alias("url"), "chat_id"), order=("chat_id",), mark=_mark(batch, checkpoint, number))
+
+    query = spark.readStream.text(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

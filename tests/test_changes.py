@@ -46,6 +46,25 @@ def test_intake_goes_on_where_it_stopped(spark, tmp_path):
     assert held(spark, table) == [("a", 1), ("b", 1), ("c", 3)]
 
 
+def test_updates_go_on_where_they_stopped(spark, tmp_path):
+    table = store.Table(str(tmp_path / "table"), "url string, chat_id long", "url", 4)
+    (tmp_path / "landed").mkdir()
+    say = lambda i, text, user=1: json.dumps({"message": {"text": text, "chat": {"id": i}, "from": {"id": user}}})
+
+    def run(name, *lines):
+        (tmp_path / "landed" / name).write_text("\n".join(lines))
+        feed.intake_updates(spark, str(tmp_path / "landed"), table, str(tmp_path / "state"), "1,2")
+        return held(spark, table)
+
+    first = [("http://a.co/x", 2), ("http://a.co/y", 3)]
+    assert run("1", say(3, "http://a.co/x http://a.co/y"), say(2, "see http://a.co/x"), say(1, "http://a.co/z", user=9), "{}", "not json", say(4, "/status")) == first
+    before = files(table.at)
+    for name in ("0", ".0.crc"):  # the batch runs again, and is void
+        os.remove(tmp_path / "state" / "commits" / name)
+    assert run("2", "") == first and {f: t for f, t in files(table.at).items() if f in before} == before
+    assert run("3", say(1, "http://a.co/y http://a.co/w")) == [("http://a.co/w", 1), *first]
+
+
 @pytest.fixture
 def table(tmp_path):
     return store.Table(str(tmp_path / "t"), "id long, a string, b string", "id", 8)
