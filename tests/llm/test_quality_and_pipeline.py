@@ -101,6 +101,74 @@ def test_against_a_plain_recomputation(spark, monkeypatch):
         assert got[i]["kept"] == kept or abs(got[i]["threshold"] - threshold) < 1e-3
 
 
+def plain_points(texts):
+    """-log p of a text by dictionaries, over whole code points of any number."""
+    grams = collections.Counter(w[i : i + 4] for t in texts for w in ["\n\n\n" + t] for i in range(len(t)))
+    orders = [grams]
+    while len(next(iter(orders[-1]))) > 1:
+        orders.append(collections.Counter(g[1:] for g in orders[-1]))
+    size = max(len(orders[-1]) + 1, Q.ALPHABET)
+    levels = []
+    for c in orders:
+        n = [0, *(sum(x == k for x in c.values()) for k in (1, 2, 3, 4))]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5, 0.1), k) for k in (1, 2, 3)]
+        total, off = collections.Counter(), collections.Counter()
+        for g, x in c.items():
+            total[g[:-1]] += x
+            off[g[:-1]] += d[min(x, 3) - 1]
+        levels.append((c, d, total, off))
+
+    def p(g, at=0):
+        if at == len(levels):
+            return 1 / size
+        c, d, total, off = levels[at]
+        if not total[g[:-1]]:
+            return p(g[1:], at + 1)
+        return (c[g] - d[min(c[g], 3) - 1] if g in c else 0) / total[g[:-1]] + off[g[:-1]] / total[g[:-1]] * p(g[1:], at + 1)
+
+    return lambda t: -sum(math.log(p(("\n\n\n" + t)[i : i + 4])) for i in range(len(t)))
+
+
+def test_whole_code_points(spark, monkeypatch):
+    """300 characters, some beyond U+FFFF and a half of a pair of none: every one is a symbol of its own, in 4-grams, in blocks and parts of any size; the pooled model too."""
+    monkeypatch.setattr(Q, "LEAST", 5)
+    rng = random.Random(3)
+    chars = [chr(0x4E00 + i) for i in range(250)] + [chr(0x20000 + i) for i in range(50)]
+    words = ["".join(rng.choices(chars, k=3)) for _ in range(150)]
+    docs = [(i, "".join(rng.choices(words, k=rng.randint(1, 20))), "zh" if i % 20 else "few") for i in range(80)] + [(100, "\U0002F800x\nA", "zh"), (101, "", "zh"), (102, None, None), (103, words[0] * 3, None), (103, words[0] * 3, None)]
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    learns = {r["id"] for r in Q.trusted(marks).filter("fold > 0").collect()}
+    own, pooled = plain_points([t for i, t, l in docs if i in learns and l == "zh"]), plain_points([t for i, t, _ in docs if i in learns])
+    monkeypatch.setattr(Q, "_BLOCK", 2000)
+    counts = Q.count(frame, marks)
+    got = Q.score(frame, Q.train(*counts)).collect()
+    assert sorted(r["id"] for r in got) == sorted(i for i, _, _ in docs)
+    texts = {i: (t or "", l) for i, t, l in docs}
+    for r in got:
+        t, l = texts[r["id"]]
+        assert r["n"] == len(t) and math.isclose(r["loss"], (own if l == "zh" else pooled)(t), rel_tol=1e-9, abs_tol=1e-9), r
+
+
+def test_parts_of_long_texts(monkeypatch):
+    """A long text in parts has the n-grams that it has as a whole; so have texts of more than 65,536 different characters."""
+    texts = ["abca bd\n" * 50, "", "x", "\ud800\U0010ffff" * 9]
+    grams = lambda: collections.Counter(
+        {(c, s): n for _, part in Q.pieces(texts) for c, s, n in zip(*(x.tolist() for x in Q.distinct(part)), strict=True)}
+    )
+    whole = grams()
+    assert sum(whole.values()) == sum(map(len, texts)) and whole[(97 << 42 | 98 << 21 | 99, 97)] == 50
+    monkeypatch.setattr(Q, "_CHARS", 7)
+    sums = collections.Counter()
+    for _, part in Q.pieces(texts):
+        for c, s, n in zip(*(x.tolist() for x in Q.distinct(part)), strict=True):
+            sums[c, s] += n
+    assert sums == whole
+    monkeypatch.undo()
+    texts = ["".join(chr(0x10000 + i) for i in range(70_000))]
+    assert set(grams().values()) == {1} and len(grams()) == 70_000
+
+
 def test_scripts():
     """Order by coverage: few letters, a syllabary, thousands of characters; ties in count keep the order given."""
     even = lambda k: [(chr(0x4E00 + i), 10) for i in range(k)]
