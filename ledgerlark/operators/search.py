@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import landing
+from ..sources.workers import small_batches
 
 #: Trigrams by which a term is looked up.
 RAREST = 4
@@ -22,6 +23,8 @@ RAREST = 4
 MOST_TERMS = 1000
 #: Folders of an index, by the trigram's hash, and parts that a trigram's rows are dealt to by their keys, so that one that all texts hold is no hot task.
 _PARTS, _LOTS = 64, 16
+#: Trigrams that a task gives at once.
+_HELD = 1 << 17
 
 
 def _part(gram: str):
@@ -36,9 +39,20 @@ def grams(text: str) -> np.ndarray:
 
 def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found = [grams(t) for t in b["text"]]
+        found, ids, size = [], [], 0
+        for i, t in zip(b["id"].tolist(), b["text"], strict=True):
+            found.append(grams(t))
+            ids.append(i)
+            size += len(found[-1])
+            if size >= _HELD:
+                yield _frame(found, ids)
+                found, ids, size = [], [], 0
         if found:
-            yield pd.DataFrame({"gram": np.concatenate(found), "id": np.repeat(b["id"].to_numpy(np.int64), [len(x) for x in found])})
+            yield _frame(found, ids)
+
+
+def _frame(found: list[np.ndarray], ids: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"gram": np.concatenate(found), "id": np.repeat(np.array(ids, dtype=np.int64), [len(x) for x in found])})
 
 
 def searched(rows: DataFrame, *columns: str):
@@ -49,7 +63,8 @@ def write_index(rows: DataFrame, key: str, columns: Sequence[str], directory: st
     """Writes the lists of rows' trigrams, sorted by trigram, so that a look-up reads a part of a few files. key: a whole number; rows without one aren't found."""
     texts = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), searched(rows, *columns).alias("text"))
     lists = texts.mapInPandas(_listed, "gram long, id long").withColumns({"part": _part("gram"), "lot": F.pmod(F.xxhash64("id"), F.lit(_LOTS))})
-    lists.repartition("part", "lot").sortWithinPartitions("part", "gram", "id").drop("lot").write.partitionBy("part").parquet(directory)
+    with small_batches(rows.sparkSession):
+        lists.repartition("part", "lot").sortWithinPartitions("part", "gram", "id").drop("lot").write.partitionBy("part").parquet(directory)
 
 
 def candidates(spark: SparkSession, directory: str, terms: Sequence[str]) -> DataFrame:

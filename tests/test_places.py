@@ -147,3 +147,16 @@ def test_enabled_feeds(spark):
     document = '{"rss_feeds": [{"name": "one", "url": "u1", "enabled": true}, {"name": "two", "url": "u2", "enabled": false}, {"name": "three", "url": "u3"}]}'
     configs = spark.createDataFrame([(document,), ("{}",), ("broken",)], "c string").select(F.from_json("c", schemas.CONFIG).alias("c")).select("c.*")
     assert sorted(tuple(r) for r in readers.enabled_feeds(configs).collect()) == [("one", "u1"), ("three", "u3")]
+
+
+def test_lists_come_in_parts(monkeypatch):
+    """What a task gives at once doesn't grow with a batch of texts; no list is lost."""
+    import pandas as pd
+
+    from ledgerlark.operators import search as index
+
+    batch = pd.DataFrame({"id": range(200), "text": [f"text {i} of many" for i in range(200)]})
+    whole = pd.concat(index._listed(iter([batch])), ignore_index=True)
+    monkeypatch.setattr(index, "_HELD", 50)
+    parts = list(index._listed(iter([batch])))
+    assert max(map(len, parts)) < 100 and pd.concat(parts, ignore_index=True).equals(whole)
