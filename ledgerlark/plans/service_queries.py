@@ -42,6 +42,15 @@ def workbook_figures(spark, sf_dir):
     return points.select("file", "series", F.make_date("year", F.lit(12), F.lit(31)).cast("string").alias("date"), "value")
 
 
+#: Numbers of pages whose articles go to the same four workbooks.
+_SHEET = 10_000
+
+
+def _book(page: str):
+    """The workbook of a page: a sheet ends at 1,048,576 rows, so more pages fill more books, not longer ones."""
+    return F.concat_ws("-", F.col(page) % 4, F.floor(F.col(page) / _SHEET))
+
+
 _LISTED = "SELECT page_id, page_id % 4 AS book, url FROM pages WHERE url <> '' AND page_id % 5 <> 0"
 
 
@@ -52,7 +61,7 @@ def import_articles(spark, sf_dir):
     """Articles of several workbooks by their headers, of which those without a title are left out, counted against the stored ones."""
     pages = base(spark, sf_dir, "pages")
     title = F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("Page "), F.col("page_id").cast("string")))
-    rows = pages.filter("url <> '' AND page_id % 5 <> 0").select((F.col("page_id") % 4).alias("book"), F.array(F.col("url"), title, F.lit("2024-01-02")).alias("cells"))
+    rows = pages.filter("url <> '' AND page_id % 5 <> 0").select(_book("page_id").alias("book"), F.array(F.col("url"), title, F.lit("2024-01-02")).alias("cells"))
     found = workbooks.articles(workbooks.cells(_workbooks(rows, "book", ("URL", "Title", "Date Created"), "Raw_GA"), "Raw_GA"))
     split = Q.split_batch(found.select("file", "row", "url"), pages.filter("page_id % 9 = 0").select("url"), "url", "file", "row")
     return split.agg(F.count_if("is_new").alias("imported"), F.count_if(~F.col("is_new")).alias("skipped"))

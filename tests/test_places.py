@@ -160,3 +160,11 @@ def test_lists_come_in_parts(monkeypatch):
     monkeypatch.setattr(index, "_HELD", 50)
     parts = list(index._listed(iter([batch])))
     assert max(map(len, parts)) < 100 and pd.concat(parts, ignore_index=True).equals(whole)
+
+
+def test_workbooks_stay_short(spark):
+    """More pages make more workbooks, not longer ones."""
+    from ledgerlark.plans import service_queries
+
+    sizes = spark.range(100_000).select(service_queries._book("id").alias("book")).groupBy("book").count().collect()
+    assert len(sizes) == 40 and {r["count"] for r in sizes} == {2500}
