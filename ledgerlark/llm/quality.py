@@ -1,9 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of characters, trained on trusted text.
 
 Trusted documents are those labelled good and not toxic. Four fifths of them, by a hash of the id, train: the model counts
-all of them, at any input size. The last fifth, all of it, sets each language's threshold from two quantiles of its log perplexities:
-the median plus SPREAD times the way from there to the QUANTILE. (A high quantile alone, 0.999, is the largest value of a few dozen
-documents: on a small table it rejects 7 of 100 clean documents.) A document whose perplexity is above its language's threshold is rejected.
+all of them, at any input size. The last fifth, all of it, sets each language's threshold: the TAIL quantile of its log perplexities. Fewer
+than ENOUGH documents have none above that quantile and don't show it; there it is the median plus SPREAD times the way from there to the
+QUANTILE. A document whose perplexity is above its language's threshold is rejected.
 
 Symbols are whole code points and n-grams have ORDER of them, in every script, so the model grows with the trusted text. Its counts
 lie in Spark, dealt by language and n-gram: those of lower orders, discounts and probabilities come from them by grouping and joins. For
@@ -37,6 +37,8 @@ ORDER, ALPHABET = 4, 40
 #: Training documents that a language with a model of its own has at least.
 LEAST = 20
 QUANTILE, SPREAD, SHRINK = 0.9, 6.0, 30
+#: A threshold's quantile, and the held-out documents from which on it leaves one out.
+TAIL, ENOUGH = 0.995, 200
 #: Held-out documents that a language needs for its own threshold.
 HELD_OUT = 30
 POOLED = "*"
@@ -274,8 +276,9 @@ def _judge(docs: DataFrame, labels: DataFrame, text: str, lang: str, key: str, q
     means = held.groupBy("l").agg((F.sum("loss") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("size"))
     every = held.agg((F.sum("loss") / F.sum("n")).alias("all_mean"))
     shrunken = (F.col("loss") + SHRINK * F.col("mean")) / (F.col("n") + SHRINK)
-    marks = F.percentile_approx("x", [0.5, quantile], 10_000)
-    limit = F.element_at(marks, 1) + SPREAD * (F.element_at(marks, 2) - F.element_at(marks, 1))
+    marks = F.percentile_approx("x", [0.5, quantile, TAIL], 10_000)
+    guess = F.element_at(marks, 1) + SPREAD * (F.element_at(marks, 2) - F.element_at(marks, 1))
+    limit = F.when(F.count(F.lit(1)) >= ENOUGH, F.element_at(marks, 3)).otherwise(guess)
     ranged = held.join(means, "l").withColumn("x", shrunken)
     of_lang = ranged.groupBy("l").agg(limit.alias("limit"), F.first("mean").alias("mean"), F.first("size").alias("size"))
     whole = ranged.agg(limit.alias("all_limit"))

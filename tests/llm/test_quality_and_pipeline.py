@@ -150,6 +150,37 @@ def test_whole_code_points(spark, monkeypatch):
         assert r["n"] == len(t) and math.isclose(r["loss"], (own if l == "zh" else pooled)(t), rel_tol=1e-9, abs_tol=1e-9), r
 
 
+def test_thresholds_are_quantiles(spark, monkeypatch, tmp_path):
+    """The pipeline's stage, without dense tables: what it keeps follows from each language's own quantile, or two of them where held-out documents are few."""
+    import corpus_pipeline as C
+
+    def never(*_):
+        raise AssertionError("a dense table")
+
+    for name, value in {"LEAST": 5, "HELD_OUT": 3, "TAIL": 0.95, "ENOUGH": 20, "kneser_ney": never, "class_table": never}.items():
+        monkeypatch.setattr(Q, name, value, raising=False)
+    rng = random.Random(9)
+    words = {"aa": ["tree", "house", "rain", "so,", "é"], "bb": ["katz", "maus", "und", "zug."]}
+    docs = [(i, " ".join(rng.choices(words[l], k=rng.randint(5, 30))) + " x#" * rng.choice([0, 0, 0, 1, 2, 4]), l) for i, l in enumerate(["aa"] * 240 + ["bb"] * 60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    marks = frame.filter("doc_id % 6 > 0").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    fold = {r["id"]: r["fold"] for r in Q.trusted(marks).collect()}
+    want, sizes = set(), {}
+    for lang in words:
+        loss = plain_points([t for i, t, l in docs if l == lang and fold.get(i, 0) > 0])
+        own = {i: (loss(t), len(t)) for i, t, l in docs if l == lang}
+        held = [i for i in own if fold.get(i) == 0]
+        mean = sum(own[i][0] for i in held) / sum(own[i][1] for i in held)
+        x = {i: (a + Q.SHRINK * mean) / (n + Q.SHRINK) for i, (a, n) in own.items()}
+        half, most, tail = (sorted(x[i] for i in held)[math.ceil(q * len(held)) - 1] for q in (0.5, Q.QUANTILE, 0.95))
+        limit = tail if len(held) >= 20 else half + Q.SPREAD * (most - half)
+        want |= {i for i in own if x[i] <= limit + 1e-9}
+        sizes[lang] = len(held), len([i for i in held if i not in want])
+    assert sizes["aa"][0] >= 20 and sizes["aa"][1] >= 1 and 3 <= sizes["bb"][0] < 20
+    assert {r["doc_id"] for r in C.good(spark, frame, str(tmp_path)).collect()} == want
+
+
 def test_parts_of_long_texts(monkeypatch):
     """A long text in parts has the n-grams that it has as a whole; so have texts of more than 65,536 different characters."""
     texts = ["abca bd\n" * 50, "", "x", "\ud800\U0010ffff" * 9]
