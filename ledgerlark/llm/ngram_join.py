@@ -297,23 +297,20 @@ def _wanted_sets(scan: DataFrame, read: DataFrame, posted: DataFrame, words: int
     one = spool(read.filter("size(posts) > 0").select("h", "row").join(wanted, "h").groupBy("h").agg(F.min("row").alias("row")))
     held = scan.sparkSession.sparkContext.broadcast(slot_bitmap(one, "row"))
 
-    @F.pandas_udf("boolean")
-    def maybe(row: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(held.value, row.to_numpy(np.int64)))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for t in batch["t"]:
+            for t in batch["t"][in_bitmap(held.value, batch["row"].to_numpy(np.int64))]:
                 found = shingle_set(t, words)
                 if len(found) and (h := _short(_node(found))) not in seen:
                     seen.add(h)
                     rows.append((h, len(found), found.view(np.int64)))
             yield pd.DataFrame(rows, columns=["h", "n", "s"])
 
-    # The bitmap spares the other texts; the join decides.
-    return spool(scan.filter(maybe("row")).select("t").mapInPandas(run, "h long, n long, s array<long>").join(wanted, "h").dropDuplicates(["h"]))
+    # The bitmap spares the other texts; the join decides. It is read in the same function, since a filter of its own would run a second
+    # Python worker beside each task's first, and both stay for all that follows.
+    return spool(scan.select("row", "t").mapInPandas(run, "h long, n long, s array<long>").join(wanted, "h").dropDuplicates(["h"]))
 
 
 def _led(posted: DataFrame) -> DataFrame:

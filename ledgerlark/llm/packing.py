@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -304,7 +305,8 @@ def pack(docs: DataFrame, definition: str, capacity: int = 2048, end: int = 0, t
     pieces = spool(cut(docs, definition, capacity, end, text, key, keep_ids))
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # no more rows than capacity
     plan = spark.sparkContext.broadcast(best_plan(counts, capacity).intervals())
-    parts = spark.createDataFrame([(n, min(-(-c // RANKED), PARTS)) for n, c in counts.items()], "length long, parts long")
+    # An Arrow table goes straight to the JVM; a list would go through Python workers of their own.
+    parts = spark.createDataFrame(pa.table({"length": list(counts), "parts": [min(-(-c // RANKED), PARTS) for c in counts.values()]}, pa.schema({"length": pa.int64(), "parts": pa.int64()})), "length long, parts long")
     dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), "parts"))
     before = dealt.groupBy("length", "part").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).drop("count")
     order = Window.partitionBy("length", "part").orderBy(key, "piece", "start", "ids_crc32")

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 from oracle import SMALL
@@ -270,3 +271,37 @@ def test_pipeline_stages(spark, odd):
                 assert out.columns == rows.columns and out.schema == rows.schema
             out.count()
     assert C.run(spark, SMALL).count() > 100
+
+
+def python_at_once(plan):
+    """The most Python steps that one task runs at a time, by the text of a physical plan; each takes a worker."""
+    most, above = 0, []
+    for line in plan.splitlines():
+        m = re.match(r"([ :]*(?:[+:]- )?)(?:\*\(\d+\) |\* )?(\w+)", line)
+        if not m:
+            continue
+        while above and above[-1][0] >= len(m[1]):
+            above.pop()
+        n = 0 if "Exchange" in m[2] else (above[-1][1] if above else 0) + bool(re.search("EvalPython|InPandas|InArrow", m[2]))
+        above.append((len(m[1]), n))
+        most = max(most, n)
+    return most
+
+
+def test_no_task_of_the_pipeline_holds_two_python_workers(spark, monkeypatch):
+    """Executors keep all workers that ran at once; rows from the driver need none."""
+    import corpus_pipeline as P
+    from ledgerlark.llm import common, graph, line_dedup, ngram_join, packing, pii
+
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.spool(df)
+
+    for module in (P, Q, graph, line_dedup, ngram_join, packing, pii):
+        if hasattr(module, "spool"):
+            monkeypatch.setattr(module, "spool", noted)
+    plans.append(P.run(spark, SMALL)._jdf.queryExecution().executedPlan().toString())
+    assert max(map(python_at_once, plans)) == 1
+    assert not [p for p in plans if "ExistingRDD" in p]
